@@ -1 +1,251 @@
-"""Fitted models over the daily features."""
+"""Fitted models over the daily features.
+
+Fits are not expressible in SQL, so these queries have no SQL check; closed
+forms, additivity and planted signals are tested instead. They run the full
+steps with few trees; ``ForecastConfig()`` and ``ImportanceConfig()`` hold the
+full-size settings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dailycast.catalog.features import feature_set
+from dailycast.catalog.forecasts import MODELS, base_oof
+from dailycast.catalog.registry import query
+from dailycast.operators import attribution, ranking, scoring, stack, trees
+from dailycast.plans import forecast as fc
+from dailycast.plans import importance as imp
+from dailycast.sources import sinks
+from dailycast.sources.staging import stage, stage_path
+from dailycast.sources.tables import attach_target
+
+CONFIG = fc.small_config()
+IMPORTANCE = imp.small_config()
+
+
+def matrix(spark, root, n_splits=CONFIG.n_splits):
+    """The model matrix of the training years and the horizon."""
+    fs = feature_set(spark, root)
+    train = attach_target(fs.train, fs.target)
+    return fc.build_matrix(train, fs.horizon, fs.columns, n_splits=n_splits)
+
+
+def fitted(spark, root, spec, target="revenue"):
+    """Matrix and a model of the given kind fitted on the whole history."""
+    m = matrix(spark, root)
+    return m, trees.fit(m.train, f"log_{target}", spec)
+
+
+def horizon_predictions(m, model):
+    scored = model.transform(m.horizon)
+    return scored.select("date", fc.unlog("prediction").alias("pred"))
+
+
+@query("ml_random_forest")
+def ml_random_forest(spark, root):
+    return horizon_predictions(*fitted(spark, root, CONFIG.forest))
+
+
+@query("ml_gbt_deep")
+def ml_gbt_deep(spark, root):
+    return horizon_predictions(*fitted(spark, root, CONFIG.deep))
+
+
+@query("ml_gbt_shallow")
+def ml_gbt_shallow(spark, root):
+    return horizon_predictions(*fitted(spark, root, CONFIG.shallow))
+
+
+@query("ml_score")
+def ml_score(spark, root):
+    """Staged scoring next to the model's own transform."""
+    m, model = fitted(spark, root, CONFIG.shallow)
+    ensemble = trees.load_ensemble(trees.node_table(spark, model))
+    scored = trees.score_ensembles(model.transform(m.horizon).select(
+        "date", "features", F.col("prediction").alias("direct")
+    ), {"staged": ensemble})
+    return scored.select("date", "direct", "staged")
+
+
+@query("ml_round_curve")
+def ml_round_curve(spark, root):
+    """Validation error by round on the last fold."""
+    m = matrix(spark, root)
+    k = CONFIG.n_splits
+    model = trees.fit(m.train.filter(F.col("fold") < k), "log_revenue", CONFIG.shallow)
+    ensemble = trees.load_ensemble(trees.node_table(spark, model))
+    return trees.round_curve(m.train.filter(F.col("fold") == k), "log_revenue", ensemble)
+
+
+def cv(spark, root):
+    m = matrix(spark, root)
+    return m, fc.run_cv(m, CONFIG)
+
+
+@query("ts_oof")
+def ts_oof(spark, root):
+    m, result = cv(spark, root)
+    return fc.complete_oof(m, result, CONFIG).select(
+        "date", "fold", "model", "target", "pred", "actual"
+    )
+
+
+@query("ts_cv_run")
+def ts_cv_run(spark, root):
+    _, result = cv(spark, root)
+    used = spark.createDataFrame(
+        result.rounds, "fold int, model string, target string, rounds int"
+    )
+    return scoring.fold_scores(result.oof).join(used, ["fold", "model", "target"])
+
+
+def base_matrix(spark, root):
+    """Stack matrix over the deterministic base forecasts, with actuals."""
+    oof = stage(base_oof(spark, root), "base_oof")
+    actual = oof.groupBy("date", "target").agg(F.max("actual").alias("actual"))
+    rows = scoring.stack_matrix(oof, list(MODELS)).join(actual, ["date", "target"])
+    rows = stage(rows, "base_matrix")
+    return trees.settle(rows, rows.count()).persist()
+
+
+def meta_query(name):
+    def run(spark, root):
+        fits = stack.fit_stack(base_matrix(spark, root), list(MODELS), CONFIG.meta_spec(name))
+        return stack.stack_weights(fits, spark)
+
+    return run
+
+
+for _name in stack.META:
+    query(f"meta_{_name}")(meta_query(_name))
+
+
+@query("stack_weights")
+def stack_weights(spark, root):
+    """Weights of every linear meta-learner side by side."""
+    rows = base_matrix(spark, root)
+    out = None
+    for name in ("ridge", "lasso", "elasticnet", "bayesian_ridge"):
+        part = stack.stack_weights(
+            stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec(name)), spark
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("stack_forecast")
+def stack_forecast(spark, root):
+    """Ridge stack of the base forecasts, constrained and formatted."""
+    rows = base_matrix(spark, root)
+    fits = stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec("ridge"))
+    wide = stack.constrain(stack.to_wide(stack.predict_stack(rows.drop("actual"), fits)))
+    return stack.format_forecast(wide)
+
+
+@query("stack_residual")
+def stack_residual(spark, root):
+    """Ridge stack corrected by the linear residual layer over the features."""
+    rows = base_matrix(spark, root)
+    m = matrix(spark, root)
+    fits = stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec("ridge"))
+    stacked = stage(stack.predict_stack(rows, fits), "stacked")
+    x = m.train.select("date", *m.columns)
+    residual = stack.fit_residual(stacked, x, m.columns)
+    return stack.predict_residual(stacked, x, residual)
+
+
+def board(spark, root):
+    specs = [CONFIG.meta_spec(name) for name in stack.META]
+    return stack.compare_stackers(base_matrix(spark, root), list(MODELS), specs=specs)
+
+
+@query("stack_compare")
+def stack_compare(spark, root):
+    return board(spark, root).drop("ordinal")
+
+
+@query("stack_best")
+def stack_best(spark, root):
+    return stack.best_stacker(board(spark, root))
+
+
+@query("forecast_full")
+def forecast_full(spark, root):
+    m = matrix(spark, root)
+    return fc.run_forecast(m, CONFIG).forecast
+
+
+@query("snk_forecast")
+def snk_forecast(spark, root):
+    """Both variants of the base-forecast stack, written and read back."""
+    rows = base_matrix(spark, root)
+    out = None
+    for name in ("ridge", "lasso"):
+        fits = stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec(name))
+        wide = stack.constrain(stack.to_wide(stack.predict_stack(rows.drop("actual"), fits)))
+        part = stack.format_forecast(wide).withColumn("variant", F.lit(f"stack_{name}"))
+        out = part if out is None else out.unionByName(part)
+    path = stage_path(spark, "forecast")
+    sinks.write_forecast(out, path)
+    schema = "Date string, Revenue double, COGS double, variant string"
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+@query("imp_rf")
+def imp_rf(spark, root):
+    m, model = fitted(spark, root, IMPORTANCE.forest)
+    return trees.impurity_importance(spark, model, m.columns)
+
+
+@query("imp_gain_total")
+def imp_gain_total(spark, root):
+    m, model = fitted(spark, root, IMPORTANCE.deep)
+    return trees.gain_importance(spark, trees.node_table(spark, model), m.columns, "sum")
+
+
+@query("imp_gain_mean")
+def imp_gain_mean(spark, root):
+    m, model = fitted(spark, root, IMPORTANCE.shallow)
+    return trees.gain_importance(spark, trees.node_table(spark, model), m.columns, "avg")
+
+
+@query("imp_target_average")
+def imp_target_average(spark, root):
+    """Forest importances of both targets averaged per feature."""
+    m = matrix(spark, root)
+    out = None
+    for target in ("revenue", "cogs"):
+        model = trees.fit(m.train, f"log_{target}", IMPORTANCE.forest)
+        part = trees.impurity_importance(spark, model, m.columns).select(
+            F.lit("rf").alias("source"), "feature", F.lit(target).alias("target"), "score"
+        )
+        out = part if out is None else out.unionByName(part)
+    return ranking.average_targets(out)
+
+
+def attributed(spark, root):
+    m, model = fitted(spark, root, IMPORTANCE.deep)
+    ensemble = trees.load_ensemble(trees.node_table(spark, model))
+    rows = model.transform(m.train).select("date", "features", "prediction")
+    return m, attribution.attribute(rows, ensemble, len(m.columns))
+
+
+@query("imp_attribution")
+def imp_attribution(spark, root):
+    """Attributions of every row next to the prediction they add up to."""
+    _, rows = attributed(spark, root)
+    total = F.aggregate("phi", F.col("base"), lambda acc, x: acc + x)
+    return rows.select("date", "prediction", "base", total.alias("explained"), "phi")
+
+
+@query("imp_mean_abs_attr")
+def imp_mean_abs_attr(spark, root):
+    m, rows = attributed(spark, root)
+    return attribution.mean_abs(rows, m.columns)
+
+
+@query("imp_combined")
+def imp_combined(spark, root):
+    m = matrix(spark, root)
+    return imp.run_importance(m.train, m.columns, IMPORTANCE)

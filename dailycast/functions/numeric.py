@@ -17,13 +17,15 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def ratio(num: Column | str, den: Column | str) -> Column:
-    """IEEE-style division that ANSI mode accepts: x/0 is +-inf and 0/0 is NULL."""
-    n, d = _c(num).cast("double"), _c(den).cast("double")
-    return (
-        F.when(d != 0, F.try_divide(n, d))
-        .when((d == 0) & (n > 0), F.lit(math.inf))
-        .when((d == 0) & (n < 0), F.lit(-math.inf))
+def ratio(num: str, den: str) -> Column:
+    """IEEE-style division of two SQL expressions that ANSI mode accepts.
+
+    x/0 is +-inf, 0/0 is NULL, and a NULL on either side stays NULL.
+    """
+    n, d = f"cast({num} as double)", f"cast({den} as double)"
+    return F.expr(
+        f"case when {d} <> 0 then {n} / {d} "
+        f"when {d} = 0 and {n} <> 0 then {n} * double('inf') end"
     )
 
 
@@ -47,24 +49,25 @@ def minor_units(x: Column | str, scale: int = MONEY_SCALE) -> Column:
     return F.floor(_c(x) * F.lit(float(10**scale)) + F.lit(0.5))
 
 
-def money_sum(x: Column | str, scale: int | None = MONEY_SCALE) -> Column:
-    """Sum that treats an all-NULL group as 0.
+def money_sum(x: str, scale: int | None = MONEY_SCALE) -> Column:
+    """Sum of the SQL expression ``x`` that treats an all-NULL group as 0.
 
     With a scale the sum runs over BIGINT units: it is exact, stays in
     generated code, and does not depend on the order in which partitions
     arrive. ``scale=None`` adds doubles as they come.
     """
-    if scale is None:
-        return F.coalesce(F.sum(_c(x)), F.lit(0.0))
-    total = F.coalesce(F.sum(minor_units(x, scale)), F.lit(0))
-    return total.cast("double") / F.lit(float(10**scale))
+    return F.expr(_money_sum(x, scale))
+
+
+def money_mean(x: str, scale: int | None = MONEY_SCALE) -> Column:
+    """Mean of the SQL expression ``x`` over its non-NULL values; NULL if none."""
+    return F.expr(f"try_divide({_money_sum(x, scale)}, count({x}))")
 
 
-def money_mean(x: Column | str, scale: int | None = MONEY_SCALE) -> Column:
-    """Mean over non-NULL values; NULL where there are none."""
+def _money_sum(x: str, scale: int | None) -> str:
     if scale is None:
-        return F.avg(_c(x))
-    return F.try_divide(money_sum(x, scale), F.count(_c(x)))
+        return f"coalesce(sum({x}), 0D)"
+    return f"(cast(coalesce(sum(floor(({x}) * 1e{scale}D + 0.5D)), 0L) as double) / 1e{scale}D)"
 
 
 def log_target(x: Column | str) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import MONEY_SCALE, minor_units, ratio, row_mean
+from dailycast.functions.numeric import MONEY_SCALE, minor_units, ratio
 from dailycast.operators.attach import attach_row
 from dailycast.operators.growth import row_growth
 from dailycast.sources.tables import Facts
@@ -57,15 +57,13 @@ def order_counts(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     One aggregation over the customer-year table gives all three, because each of
     its rows is one distinct customer of that year.
     """
-    is_new = F.coalesce(F.col("year") == F.col("first_year"), F.lit(False))
-    total = F.sum("orders")
     return (
         customer_years(orders, keys)
         .groupBy(*keys, "year")
         .agg(
             F.count("customer_id").alias("annual_unique_customers"),
-            total.alias("annual_total_orders"),
-            ratio(F.sum(F.when(is_new, F.col("orders")).otherwise(F.lit(0))), total).alias(
+            F.sum("orders").alias("annual_total_orders"),
+            ratio("sum(if(year = first_year, orders, 0))", "sum(orders)").alias(
                 "annual_new_customer_rate"
             ),
         )
@@ -179,18 +177,13 @@ def annual_metrics(facts: Facts, keys: Sequence[str] = ()) -> DataFrame | None:
             out = out.join(back, on, "left").withColumn(
                 "annual_return_rate", ratio("annual_returned_orders", "annual_total_orders")
             )
-        out = out.select(
+        out = out.selectExpr(
             *on,
-            *[
-                F.col(c).cast("double").alias(c)
-                if c in out.columns
-                else F.lit(None).cast("double").alias(c)
-                for c in ORDER_METRICS
-            ],
+            *[f"cast({c if c in out.columns else 'null'} as double) as {c}" for c in ORDER_METRICS],
         )
     if facts.web_traffic is not None:
-        visits = sessions(facts.web_traffic, keys).select(
-            *on, *[F.col(c).cast("double").alias(c) for c in TRAFFIC_METRICS]
+        visits = sessions(facts.web_traffic, keys).selectExpr(
+            *on, *[f"cast({c} as double) as {c}" for c in TRAFFIC_METRICS]
         )
         out = visits if out is None else out.join(visits, on, "left")
     return out
@@ -214,11 +207,14 @@ def tail_means(
     tail = metrics.withColumn("_age", F.row_number().over(latest)).filter(
         F.col("_age") <= years
     )
-    aggs = []
+    means = []
     for c in cols:
-        by_age = [F.max(F.when(F.col("_age") == k, F.col(c))) for k in range(years, 0, -1)]
-        aggs.append(row_mean(*by_age).alias(c))
-    return tail.groupBy(*keys).agg(*aggs)
+        in_order = " + ".join(
+            f"coalesce(max({c}) filter (where _age = {k}), 0D)" for k in range(years, 0, -1)
+        )
+        means.append(f"try_divide({in_order}, count({c})) as {c}")
+    packed = F.expr(f"struct({', '.join(means)})").alias("_m")
+    return tail.groupBy(*keys).agg(packed).select(*keys, "_m.*")
 
 
 def extrapolate(

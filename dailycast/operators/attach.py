@@ -30,9 +30,5 @@ def attach_row(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> Dat
     """
     if keys:
         return df.join(stats, list(keys), "left")
-    names = stats.columns
-    packed = stats.select(F.struct(*names)).scalar()
-    kept = df.columns
-    return df.withColumn("_row", packed).select(
-        *kept, *[F.col("_row").getField(n).alias(n) for n in names]
-    )
+    packed = stats.select(F.struct("*")).scalar()
+    return df.withColumn("_row", packed).select("*", "_row.*").drop("_row")

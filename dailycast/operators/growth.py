@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import MONEY_SCALE, is_finite, money_sum, ratio
+from dailycast.functions.numeric import MONEY_SCALE, money_sum, ratio
 
 ROLLING_YEARS = 3
 
@@ -23,19 +23,21 @@ GROWTH_COLS = [
 ]
 
 
-def by_year(keys: Sequence[str] = ()):
-    return Window.partitionBy(*keys).orderBy("year")
+def _by_year(keys: Sequence[str]) -> str:
+    parts = f"partition by {', '.join(keys)} " if keys else ""
+    return f"{parts}order by year"
 
 
 def row_growth(x: str, keys: Sequence[str] = ()) -> Column:
     """Change against the previous row: across a missing year it spans the gap."""
-    return ratio(F.col(x), F.lag(x).over(by_year(keys))) - F.lit(1.0)
+    return ratio(x, f"lag({x}) over ({_by_year(keys)})") - 1
 
 
 def rolling_mean(x: str, keys: Sequence[str] = (), rows: int = ROLLING_YEARS) -> Column:
     """Mean of the finite values among the last ``rows`` rows, NULL if none."""
-    w = by_year(keys).rowsBetween(1 - rows, 0)
-    return F.avg(F.when(is_finite(x), F.col(x))).over(w)
+    frame = f"rows between {rows - 1} preceding and current row"
+    finite = f"if(abs({x}) < double('inf'), {x}, null)"
+    return F.expr(f"avg({finite}) over ({_by_year(keys)} {frame})")
 
 
 def annual_totals(

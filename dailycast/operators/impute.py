@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import finite_or_null
 from dailycast.operators.attach import attach_row
 
 
@@ -17,7 +16,8 @@ def medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> Dat
     The state of an exact median is a count per distinct value. At daily grain
     that is at most one entry per calendar day of the series.
     """
-    return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in cols])
+    packed = ", ".join(f"median({c}) as {c}" for c in cols)
+    return df.groupBy(*keys).agg(F.expr(f"struct({packed})").alias("_m")).select(*keys, "_m.*")
 
 
 def fill_from(
@@ -33,16 +33,14 @@ def fill_from(
     ``clear_infinite`` treats infinities as missing; ``then_zero`` covers columns
     that have no stand-in because they are NULL throughout.
     """
-    named = stats.select(*keys, *[F.col(c).alias(f"_fill_{c}") for c in cols])
-    out = {}
-    for c in cols:
-        value = finite_or_null(c) if clear_infinite else F.col(c)
-        parts = [value, F.col(f"_fill_{c}")]
-        if then_zero:
-            parts.append(F.lit(0.0))
-        out[c] = F.coalesce(*parts)
-    order = df.columns
-    return attach_row(df, named, keys).withColumns(out).select(*order)
+    packed = ", ".join(cols)
+    rows = attach_row(df, stats.selectExpr(*keys, f"struct({packed}) as _fill"), keys)
+    zero = ", 0D" if then_zero else ""
+    out = []
+    for c in df.columns:
+        value = f"if(abs({c}) < double('inf'), {c}, null)" if clear_infinite else c
+        out.append(f"coalesce({value}, _fill.{c}{zero}) as {c}" if c in set(cols) else c)
+    return rows.selectExpr(*out)
 
 
 def fill_own_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -33,12 +33,13 @@ def recent(sales: DataFrame, keys: Sequence[str] = (), years: int = RECENT_YEARS
     )
 
 
-def _means(scale: int | None, slot: str, suffix: str = "", when=None):
-    out = []
-    for measure in ("revenue", "cogs"):
-        value = F.col(measure) if when is None else F.when(when, F.col(measure))
-        out.append(money_mean(value, scale).alias(f"hist_{slot}_{measure}_mean{suffix}"))
-    return out
+def _means(scale: int | None, slot: str, suffix: str = "", when: str | None = None):
+    return [
+        money_mean(f"if({when}, {m}, null)" if when else m, scale).alias(
+            f"hist_{slot}_{m}_mean{suffix}"
+        )
+        for m in ("revenue", "cogs")
+    ]
 
 
 def monthday_means(
@@ -61,7 +62,7 @@ def monthday_means_both(
     """Full-history and recent means from one pass over the history."""
     last = bounds(sales, keys).select(*keys, "max_year")
     df = with_calendar(attach_row(sales, last, keys))
-    is_recent = F.col("year") > F.col("max_year") - F.lit(RECENT_YEARS)
+    is_recent = f"year > max_year - {RECENT_YEARS}"
     return df.groupBy(*keys, "month", "day").agg(
         *_means(scale, "monthday"), *_means(scale, "monthday", "_2y", is_recent)
     )

@@ -18,7 +18,7 @@ from dailycast.functions.calendar import (
 from dailycast.functions.numeric import MONEY_SCALE
 from dailycast.operators import annual, growth, impute, lags, seasonal
 from dailycast.operators.attach import attach_row, attach_stats
-from dailycast.sources.staging import stage
+from dailycast.sources.staging import run_together, stage
 from dailycast.sources.tables import Facts
 
 # The names and the order of the feature columns.
@@ -110,8 +110,17 @@ def build_features(
     keys = list(keys)
     sales = sales.filter(F.col("date").isNotNull()).select(*keys, "date", "revenue", "cogs")
     horizon = horizon.select(*keys, "date")
+    metrics = annual.annual_metrics(facts, keys) if facts else None
     if staged:
-        sales = stage(sales.repartition(*keys) if keys else sales, "sales")
+        spark = sales.sparkSession
+        source, yearly = sales.repartition(*keys) if keys else sales, metrics
+        sales, metrics = run_together(
+            spark,
+            [
+                lambda: stage(source, "sales"),
+                lambda: yearly and stage(yearly, "annual", partitions=None if keys else 1),
+            ],
+        )
     if keys:
         # One exchange by series serves every grouping, window and join below.
         sales, horizon = sales.repartition(*keys), horizon.repartition(*keys)
@@ -130,10 +139,7 @@ def build_features(
     ahead = attach_row(ahead, growth.latest_growth(yoy, keys), keys)
     ahead = lags.fill_horizon_lag(lags.attach_lag(ahead, sales, keys))
 
-    metrics = annual.annual_metrics(facts, keys) if facts else None
     if metrics is not None:
-        if staged:
-            metrics = stage(metrics, "annual", partitions=None if keys else 1)
         years = ahead.select(*keys, "year").distinct()
         metrics = annual.extrapolate(metrics, years, keys)
         hist = attach_stats(hist, metrics, ["year"], keys)
@@ -145,7 +151,8 @@ def build_features(
     test = ahead.select(*keys, "date", *columns)
     if staged:
         # The medians need the finished columns: compute those once, not twice.
-        train, test = stage(train, "train_raw"), stage(test, "horizon_raw")
+        finished = [(train, "train_raw"), (test, "horizon_raw")]
+        train, test = run_together(spark, [lambda a=a: stage(*a) for a in finished])
     return FeatureSet(
         train=impute.fill_own_median(train, fillable, keys),
         horizon=impute.fill_own_median(test, fillable, keys),

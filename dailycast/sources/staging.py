@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +42,13 @@ def stage(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     out = df.coalesce(partitions) if partitions else df
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_together(spark: SparkSession, tasks: Iterable[Callable], workers: int = 4) -> list:
+    """Run independent driver-side steps at once, so that their jobs share the cluster.
+
+    Results come back in order. ``workers`` bounds how many jobs compete.
+    """
+    pinned = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return [f.result() for f in [pool.submit(pinned(t)) for t in tasks]]
