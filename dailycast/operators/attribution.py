@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dailycast.operators.trees import Ensemble, as_matrix
 
@@ -142,7 +143,7 @@ def attribute(df: DataFrame, model: Ensemble, n_features: int) -> DataFrame:
             yield out
 
     rows = df.withColumn("_x", vector_to_array("features")).select(*kept, "_x")
-    schema = df.select(*kept).schema.add("phi", "array<double>").add("base", "double")
+    schema = df.select(*kept).schema.add("phi", T.ArrayType(T.DoubleType())).add("base", "double")
     return rows.mapInPandas(explain, schema)
 
 

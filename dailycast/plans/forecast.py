@@ -27,7 +27,7 @@ class ForecastConfig:
     meta: str = "gbm"
     meta_rounds: int = 100
     oof_fill: float | None = 0.0
-    workers: int = 4
+    workers: int = 8
 
     @property
     def specs(self) -> tuple[trees.TreeSpec, ...]:

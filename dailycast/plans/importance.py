@@ -21,7 +21,7 @@ class ImportanceConfig:
     forest: trees.TreeSpec = trees.FOREST
     deep: trees.TreeSpec = replace(trees.DEEP, max_rounds=500, patience=None)
     shallow: trees.TreeSpec = replace(trees.SHALLOW, max_rounds=500, patience=None)
-    workers: int = 4
+    workers: int = 8
 
     @property
     def specs(self) -> tuple[trees.TreeSpec, ...]:
