@@ -109,8 +109,7 @@ def met_r2(spark, root):
 def met_fold_scores(spark, root):
     wide = stage(base_wide(spark, root), "base_wide")
     bounds = folds.fold_bounds(folds.assign_folds(wide.select("date")))
-    preds = scoring.melt_predictions(folds.in_fold_range(wide, bounds), MODELS)
-    tagged = folds.in_fold_range(preds, bounds)
+    tagged = folds.in_fold_range(scoring.melt_predictions(wide, MODELS), bounds)
     return rounded(scoring.fold_scores(tagged), "mape", "r2")
 
 

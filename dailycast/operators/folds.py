@@ -53,12 +53,6 @@ def assign_folds(dates: DataFrame, n_splits: int = N_SPLITS) -> DataFrame:
     return attach_row(pos, size).select("date", "position", fold.cast("int").alias("fold"))
 
 
-def require_splittable(folds: DataFrame, n_splits: int = N_SPLITS) -> None:
-    """Every fold needs a date to validate and the first one a date to train on."""
-    if folds.select("fold").distinct().count() != n_splits + 1:
-        raise ValueError(f"too few dates for {n_splits} folds")
-
-
 def fold_bounds(folds: DataFrame) -> DataFrame:
     """Training and validation range of every fold."""
     own = folds.groupBy("fold").agg(F.min("date").alias("val_start"), F.max("date").alias("val_end"))
@@ -78,10 +72,11 @@ def fold_bounds(folds: DataFrame) -> DataFrame:
 def in_fold_range(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """Tag rows with the fold whose validation range holds their date.
 
-    The bounds table has ``n_splits`` rows at any data size, so it is broadcast
-    and every row is compared with those few ranges where it lies.
+    The ``n_splits`` ranges travel as one array literal and each row keeps those
+    that match, so the interval match needs neither a shuffle nor a join.
     """
-    ranges = F.broadcast(bounds.select("fold", "val_start", "val_end"))
-    return rows.join(ranges, F.col("date").between(F.col("val_start"), F.col("val_end"))).drop(
-        "val_start", "val_end"
-    )
+    ranges = bounds.agg(F.collect_list(F.struct("fold", "val_start", "val_end")).alias("_ranges"))
+    hits = "filter(_ranges, r -> date between r.val_start and r.val_end)"
+    return attach_row(rows, ranges).selectExpr(
+        *rows.columns, f"explode({hits}) as _hit"
+    ).selectExpr(*rows.columns, "_hit.fold as fold")
