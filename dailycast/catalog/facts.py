@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, msum, with_ctes
 from dailycast.operators import annual, growth
+from dailycast.operators.attach import salted_left_join
 from dailycast.sources import retail
+from dailycast.sources.staging import stage
 from dailycast.sources.tables import Facts
 
 
@@ -59,7 +61,7 @@ def jn_first_year(spark, root):
         .groupBy("customer_id")
         .agg(F.min("year").alias("first_year"))
     )
-    return orders.join(first, "customer_id", "left").select(
+    return salted_left_join(orders, first, "customer_id", spread="order_id").select(
         "order_id", "customer_id", "year", "first_year"
     )
 
@@ -245,12 +247,21 @@ def agg_annual_totals(spark, root):
 
 
 def train(spark, root, keys=None):
-    """Daily sales of the training years."""
+    """Daily sales of the training years, for a plan that reads them once."""
     daily = retail.daily_sales(spark, root, keys)
     return daily.filter(F.col("date") < F.lit(SPLIT).cast("date"))
 
 
-def horizon(spark, root, keys=None):
-    """Dates (and series) to forecast."""
-    daily = retail.daily_sales(spark, root, keys)
-    return daily.filter(F.col("date") >= F.lit(SPLIT).cast("date")).drop("revenue", "cogs")
+def history(spark, root, keys=None):
+    """Daily sales of the training years, rolled up once for plans that read them often."""
+    return stage(train(spark, root, keys), "history")
+
+
+def split(spark, root, keys=None):
+    """Training years and the dates to forecast, from one roll-up of the facts."""
+    daily = stage(retail.daily_sales(spark, root, keys), "daily")
+    cut = F.lit(SPLIT).cast("date")
+    return (
+        daily.filter(F.col("date") < cut),
+        daily.filter(F.col("date") >= cut).drop("revenue", "cogs"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dailycast.catalog.facts import horizon, train
+from dailycast.catalog.facts import history, split, train
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, with_ctes
 from dailycast.functions.calendar import with_calendar
@@ -12,6 +12,7 @@ from dailycast.operators import folds, growth, impute, lags, seasonal
 from dailycast.operators.attach import attach_row, attach_stats
 from dailycast.plans.features import build_features
 from dailycast.sources import retail
+from dailycast.sources.staging import stage
 
 MD = ["hist_monthday_revenue_mean", "hist_monthday_cogs_mean"]
 MD2 = ["hist_monthday_revenue_mean_2y", "hist_monthday_cogs_mean_2y"]
@@ -26,7 +27,7 @@ def agg_monthday_mean(spark, root):
 
 @query("agg_monthday_mean_2y", with_ctes("select * from md2"))
 def agg_monthday_mean_2y(spark, root):
-    return seasonal.monthday_means_recent(train(spark, root))
+    return seasonal.monthday_means_recent(history(spark, root))
 
 
 @query("agg_month_mean", with_ctes("select * from mo"))
@@ -46,7 +47,7 @@ def agg_weekday_mean(spark, root):
     ),
 )
 def flt_recent_years(spark, root):
-    return seasonal.recent(train(spark, root))
+    return seasonal.recent(history(spark, root))
 
 
 @query(
@@ -68,8 +69,9 @@ def agg_bounds(spark, root):
     ),
 )
 def jn_scalar_broadcast(spark, root):
-    stats = seasonal.bounds(train(spark, root)).select("train_start", "max_year")
-    return attach_row(retail.daily_sales(spark, root), stats)
+    daily = stage(retail.daily_sales(spark, root), "daily")
+    known = daily.filter(F.col("date") < F.lit(SPLIT).cast("date"))
+    return attach_row(daily, seasonal.bounds(known).select("train_start", "max_year"))
 
 
 @query(
@@ -82,7 +84,7 @@ def jn_scalar_broadcast(spark, root):
     ),
 )
 def jn_seasonal_attach(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     rows = seasonal.attach_seasonal(with_calendar(sales), sales)
     return rows.select(
         "date", "revenue", "cogs", "month", "day", "weekday", *MD, *MD2, *MO, *WD
@@ -94,7 +96,8 @@ def jn_seasonal_attach(spark, root):
     with_ctes("select date, lag_1y_revenue, lag_1y_cogs from horizon left join lags using (date)"),
 )
 def jn_lag_365(spark, root):
-    return lags.attach_lag(horizon(spark, root), train(spark, root))
+    sales, ahead = split(spark, root)
+    return lags.attach_lag(ahead, sales)
 
 
 @query(
@@ -109,9 +112,9 @@ def jn_lag_365(spark, root):
     ),
 )
 def imp_lag_fallback_horizon(spark, root):
-    sales = train(spark, root)
+    sales, ahead = split(spark, root)
     rows = attach_stats(
-        with_calendar(horizon(spark, root)),
+        with_calendar(ahead),
         seasonal.monthday_means_recent(sales),
         ["month", "day"],
     )
@@ -129,7 +132,7 @@ def imp_lag_fallback_horizon(spark, root):
     ),
 )
 def imp_lag_fallback_train(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     rows = attach_stats(with_calendar(sales), seasonal.monthday_means(sales), ["month", "day"])
     return lags.fill_history_lag(lags.attach_lag(rows, sales)).select(
         "date", "lag_1y_revenue", "lag_1y_cogs"
@@ -175,7 +178,7 @@ LAGS = ["lag_1y_revenue", "lag_1y_cogs"]
     ),
 )
 def agg_medians(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     return impute.medians(lags.attach_lag(sales, sales), LAGS)
 
 
@@ -190,7 +193,8 @@ def agg_medians(spark, root):
     ),
 )
 def imp_median_self(spark, root):
-    rows = lags.attach_lag(horizon(spark, root), train(spark, root))
+    sales, ahead = split(spark, root)
+    rows = lags.attach_lag(ahead, sales)
     return impute.fill_own_median(rows, LAGS)
 
 
@@ -206,8 +210,8 @@ def imp_median_self(spark, root):
     ),
 )
 def imp_median_then_zero(spark, root):
-    sales = train(spark, root)
-    rows = lags.attach_lag(horizon(spark, root), sales)
+    sales, ahead = split(spark, root)
+    rows = lags.attach_lag(ahead, sales)
     return impute.fill_train_median(rows, lags.attach_lag(sales, sales), LAGS)
 
 
@@ -233,7 +237,7 @@ def imp_inf(spark, root):
         .when(F.col("cogs") < F.col("revenue") * 0.3, F.lit(None).cast("double"))
         .otherwise(F.try_divide("revenue", "cogs"))
     )
-    rows = train(spark, root).select("date", markup.alias("markup"))
+    rows = history(spark, root).select("date", markup.alias("markup"))
     return impute.fill_train_median(rows, rows, ["markup"], clear_infinite=True)
 
 
@@ -257,11 +261,11 @@ FOLD_SQL = {
     "select date, revenue, cogs, row_number() over (order by date) - 1 as position from daily"
 ))
 def scan_sorted_position(spark, root):
-    return folds.with_position(retail.daily_sales(spark, root))
+    return folds.with_position(stage(retail.daily_sales(spark, root), "daily"))
 
 
 def train_dates(spark, root):
-    return train(spark, root).select("date")
+    return history(spark, root).select("date")
 
 
 @query("ts_fold_assign", with_ctes("select date, position, fold from folds", FOLD_SQL))
@@ -286,7 +290,7 @@ def ts_fold_bounds(spark, root):
     ),
 )
 def jn_fold_interval(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     return folds.in_fold_range(sales, folds.fold_bounds(folds.assign_folds(sales)))
 
 
@@ -355,15 +359,9 @@ def _rounded(df):
 
 
 def feature_set(spark, root, keys=None):
-    names = list(keys or {})
-    return build_features(
-        train(spark, root, keys),
-        horizon(spark, root, keys),
-        retail.facts(spark, root).before(SPLIT),
-        keys=names,
-    ) if not names else build_features(
-        train(spark, root, keys), horizon(spark, root, keys), None, keys=names
-    )
+    sales, ahead = split(spark, root, keys)
+    facts = None if keys else retail.facts(spark, root).before(SPLIT)
+    return build_features(sales, ahead, facts, keys=list(keys or ()), stage_inputs=False)
 
 
 @query("feat_train", with_ctes(_feature_body("raw_train"), FEATURE_SQL))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dailycast.catalog.facts import horizon, train
+from dailycast.catalog.facts import history, split
 from dailycast.catalog.features import FOLD_SQL
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import with_ctes
@@ -17,6 +17,7 @@ from dailycast.functions.calendar import with_calendar
 from dailycast.functions.metrics import mape, r2
 from dailycast.operators import folds, lags, ranking, scoring, seasonal
 from dailycast.operators.attach import attach_stats
+from dailycast.operators.stack import pick_variant
 from dailycast.sources import retail
 from dailycast.sources.staging import stage
 
@@ -62,7 +63,7 @@ def _r2(by: str, where: str) -> str:
 
 def base_wide(spark, root):
     """Actuals next to the three base forecasts, one row per training date."""
-    sales = stage(train(spark, root), "base_sales")
+    sales = history(spark, root)
     rows = with_calendar(sales)
     rows = attach_stats(rows, seasonal.monthday_means(sales), ["month", "day"])
     rows = attach_stats(rows, seasonal.month_means(sales), ["month"])
@@ -167,7 +168,7 @@ def stack_matrix(spark, root):
     ),
 )
 def agg_fold_average(spark, root):
-    sales = stage(train(spark, root), "fold_sales")
+    sales, ahead = split(spark, root)
     days = folds.assign_folds(sales.select("date")).select("date", "fold")
     known = (
         with_calendar(sales)
@@ -176,7 +177,7 @@ def agg_fold_average(spark, root):
         .filter(F.col("k") <= folds.N_SPLITS)
     )
     fitted = known.groupBy("k", "month").agg(num.money_mean("revenue").alias("pred"))
-    ahead = with_calendar(horizon(spark, root)).select("date", "month")
+    ahead = with_calendar(ahead).select("date", "month")
     preds = ahead.join(F.broadcast(fitted), "month").select(  # 12 months x 5 folds
         "date", F.lit("month_mean").alias("model"), F.lit("revenue").alias("target"), "pred"
     )
@@ -194,8 +195,6 @@ def agg_fold_average(spark, root):
     ),
 )
 def stack_pick_variant(spark, root):
-    from dailycast.operators.stack import pick_variant
-
     scores = scoring.oof_scores(base_oof(spark, root)).withColumnRenamed("model", "variant")
     return rounded(pick_variant(scores, ["lag_1y", "monthday_mean"]), "total_mape")
 

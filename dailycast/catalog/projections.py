@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dailycast.catalog.facts import train
+from dailycast.catalog.facts import history, split, train
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import with_ctes
 from dailycast.functions import calendar as cal
 from dailycast.functions import metrics
 from dailycast.functions import numeric as num
 from dailycast.operators.attach import attach_row
+from dailycast.operators.lags import attach_lag
 from dailycast.sources import retail, sinks, tables
 from dailycast.sources.staging import stage_path
 from dailycast.sources.retail import table
@@ -200,9 +201,7 @@ def flt_finite_pairs(spark, root):
     ),
 )
 def prj_row_mean(spark, root):
-    from dailycast.operators.lags import attach_lag
-
-    sales = train(spark, root)
+    sales = history(spark, root)
     return attach_lag(sales, sales).select(
         "date", num.row_mean("lag_1y_revenue", "lag_1y_cogs", "revenue").alias("row_mean")
     )
@@ -265,7 +264,7 @@ def src_leak_guard(spark, root):
 
 @query("src_attach_target", with_ctes("select date, month, day, revenue, cogs from calendar"))
 def src_attach_target(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     features = cal.with_calendar(sales.select("date")).select("date", "month", "day")
     return tables.attach_target(features, sales)
 
@@ -279,7 +278,7 @@ def src_attach_target(spark, root):
     ),
 )
 def jn_positional_as_date(spark, root):
-    sales = train(spark, root)
+    sales = history(spark, root)
     features = cal.with_calendar(sales.select("date")).select("date", "dayofyear")
     return features.join(sales, "date")
 
@@ -295,10 +294,8 @@ def jn_positional_as_date(spark, root):
     ),
 )
 def agg_data_checks(spark, root):
-    from dailycast.catalog.facts import horizon
-    from dailycast.operators.lags import attach_lag
-
-    rows = attach_lag(horizon(spark, root), train(spark, root))
+    sales, ahead = split(spark, root)
+    rows = attach_lag(ahead, sales)
     lag = F.col("lag_1y_revenue")
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -32,3 +32,17 @@ def attach_row(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> Dat
         return df.join(stats, list(keys), "left")
     packed = stats.select(F.struct("*")).scalar()
     return df.withColumn("_row", packed).select("*", "_row.*").drop("_row")
+
+
+def salted_left_join(
+    left: DataFrame, right: DataFrame, on: str, spread: str, salts: int = 16
+) -> DataFrame:
+    """Left join in which the rows of one key are split over ``salts`` tasks.
+
+    For a large left side whose key may be very uneven and a right side with one
+    row per key: left rows draw a salt from ``spread``, right rows are repeated
+    once per salt.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [on, "_salt"], "left").drop("_salt")

@@ -99,28 +99,30 @@ def build_features(
     base_year: int = BASE_YEAR,
     scale: int | None = MONEY_SCALE,
     staged: bool = True,
+    stage_inputs: bool = True,
 ) -> FeatureSet:
     """Features for every date of ``sales`` and of ``horizon``.
 
     ``sales(keys…, date, revenue, cogs)`` and ``horizon(keys…, date)`` hold one
-    row per date and series. With ``staged`` the history and the annual metrics
-    are written once, partitioned by series, because many branches below read
-    them and the facts behind them may be very large.
+    row per date and series. With ``staged`` the inputs, the annual metrics and the
+    finished columns are each written once, because several branches read them and
+    the facts behind them may be very large; ``stage_inputs=False`` says that
+    ``sales`` and ``horizon`` are cheap scans already.
     """
     keys = list(keys)
+    spark = sales.sparkSession
     sales = sales.filter(F.col("date").isNotNull()).select(*keys, "date", "revenue", "cogs")
     horizon = horizon.select(*keys, "date")
     metrics = annual.annual_metrics(facts, keys) if facts else None
     if staged:
-        spark = sales.sparkSession
-        source, yearly = sales.repartition(*keys) if keys else sales, metrics
-        sales, metrics = run_together(
-            spark,
-            [
-                lambda: stage(source, "sales"),
-                lambda: yearly and stage(yearly, "annual", partitions=None if keys else 1),
-            ],
-        )
+        work = {"annual": metrics}
+        if stage_inputs:
+            work |= {"sales": sales, "horizon": horizon}
+        work = {n: df for n, df in work.items() if df is not None}
+        done = run_together(spark, [lambda n=n, df=df: stage(df, n) for n, df in work.items()])
+        ready = dict(zip(work, done))
+        sales, horizon = ready.get("sales", sales), ready.get("horizon", horizon)
+        metrics = ready.get("annual", metrics)
     if keys:
         # One exchange by series serves every grouping, window and join below.
         sales, horizon = sales.repartition(*keys), horizon.repartition(*keys)

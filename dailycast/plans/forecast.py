@@ -216,6 +216,7 @@ def run_forecast(matrix: Matrix, config: ForecastConfig = ForecastConfig()) -> F
         scores = s if scores is None else scores.unionByName(s)
         forecasts = f if forecasts is None else forecasts.unionByName(f)
     scores = stage(scores, "variant_scores", partitions=1)
+    train.unpersist()
     return Forecast(
         forecast=forecasts,
         best=stack.pick_variant(scores, list(variants)),
