@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dailycast.catalog.facts import history, split, train
 from dailycast.catalog.registry import query
-from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, with_ctes
+from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, mavg, msum, with_ctes
 from dailycast.functions.calendar import with_calendar
 from dailycast.operators import folds, growth, impute, lags, seasonal
 from dailycast.operators.attach import attach_row, attach_stats
@@ -377,3 +377,66 @@ def feat_horizon(spark, root):
 @query("feat_target", with_ctes("select date, revenue, cogs from train"))
 def feat_target(spark, root):
     return train(spark, root)
+
+
+# --- many series at once -----------------------------------------------------
+
+SEGMENTS = {"segment": ("customer", "c_mktsegment")}
+SEGMENT_SQL = {
+    "sdaily": f"""
+        select c_mktsegment as segment, cast(o_orderdate as date) as date,
+               {msum("l_extendedprice * (1 - l_discount)")} as revenue,
+               {msum("l_quantity * p_retailprice")} as cogs
+        from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
+             join customer on o_custkey = c_custkey
+        group by 1, 2""",
+    "strain": f"select * from sdaily where date < date '{SPLIT}'",
+    "shorizon": f"select segment, date from sdaily where date >= date '{SPLIT}'",
+    "smax": "select segment, max(year(date)) as max_year from strain group by 1",
+    "smd": f"""
+        select segment, month(date) as m, day(date) as d, {mavg("revenue")} as r, {mavg("cogs")} as c
+        from strain group by 1, 2, 3""",
+    "smd2": f"""
+        select segment, month(date) as m, day(date) as d, {mavg("revenue")} as r, {mavg("cogs")} as c
+        from strain join smax using (segment) where year(date) >= max_year - 1 group by 1, 2, 3""",
+    "syear": f"""
+        select segment, cast(year(date) as integer) as year, {msum("revenue")} as revenue
+        from strain group by 1, 2""",
+    "syoy": """
+        select segment, year, revenue / nullif(lag(revenue) over w, 0) - 1 as g
+        from syear window w as (partition by segment order by year)""",
+    "slatest": "select segment, arg_max(g, year) as g from (select segment, year, coalesce(g, 'nan'::double) as g from syoy) group by 1",
+    "sraw": """
+        select h.segment, h.date,
+               case when l.revenue is null then smd2.r else l.revenue end as lag_1y_revenue,
+               case when l.revenue is null then smd2.c else l.cogs end as lag_1y_cogs,
+               smd.r as hist_monthday_revenue_mean, slatest.g as hist_yoy_revenue_growth
+        from shorizon h
+             left join strain l on l.segment = h.segment and l.date + 365 = h.date
+             left join smd on smd.segment = h.segment and smd.m = month(h.date) and smd.d = day(h.date)
+             left join smd2 on smd2.segment = h.segment and smd2.m = month(h.date)
+                           and smd2.d = day(h.date)
+             left join slatest on slatest.segment = h.segment""",
+}
+_SEG_COLS = ["lag_1y_revenue", "lag_1y_cogs", "hist_monthday_revenue_mean"]
+
+
+@query(
+    "feat_horizon_by_segment",
+    with_ctes(
+        "select segment, date, hist_yoy_revenue_growth, "
+        + ", ".join(f"coalesce({c}, median({c}) over (partition by segment)) as {c}" for c in _SEG_COLS)
+        + " from sraw",
+        SEGMENT_SQL,
+    ),
+)
+def feat_horizon_by_segment(spark, root):
+    """Every market segment as its own series, in one plan."""
+    return feature_set(spark, root, SEGMENTS).horizon.select(
+        "segment", "date", "hist_yoy_revenue_growth", *_SEG_COLS
+    )
+
+
+@query("agg_daily_sales_by_segment", with_ctes("select * from sdaily", SEGMENT_SQL))
+def agg_daily_sales_by_segment(spark, root):
+    return retail.daily_sales(spark, root, SEGMENTS)

@@ -11,15 +11,31 @@ from pyspark.sql import functions as F
 def attach_stats(
     df: DataFrame, stats: DataFrame, on: Sequence[str], keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Left-attach a statistics table on ``keys + on``.
+    """Left-attach statistics per calendar slot: ``on`` names integer slot columns.
 
-    For one series such a table has at most one row per calendar slot (366
-    month-days, 12 months, 7 weekdays, one row per year), a bound that holds at
-    any data size, so it is broadcast. With series keys it grows with the number
-    of series and the choice is left to the optimizer's size statistics.
+    For one series such a table has at most one row per slot (366 month-days, 12
+    months, 7 weekdays, one row per year), a bound that holds at any data size, so
+    it is broadcast.
+
+    With series keys it grows with the number of series. Then each series' slots,
+    bounded as before, are packed into one map and joined on the keys alone: rows
+    that are already partitioned and sorted by series stay where they are, however
+    many of these tables are attached.
     """
-    side = stats if keys else F.broadcast(stats)
-    return df.join(side, [*keys, *on], "left")
+    if not keys:
+        return df.join(F.broadcast(stats), list(on), "left")
+    values = [c for c in stats.columns if c not in {*keys, *on}]
+    slot = on[0]
+    for c in on[1:]:
+        slot = f"({slot}) * 1000 + {c}"
+    entry = f"struct({slot} as slot, struct({', '.join(values)}) as hit)"
+    packed = stats.groupBy(*keys).agg(
+        F.expr(f"map_from_entries(collect_list({entry}))").alias("_slots")
+    )
+    joined = df.join(packed, list(keys), "left")
+    return joined.selectExpr(*df.columns, f"_slots[{slot}] as _hit").selectExpr(
+        *df.columns, *[f"_hit.{c} as {c}" for c in values]
+    )
 
 
 def attach_row(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.numeric import MONEY_SCALE, money_sum, ratio
+from dailycast.operators.attach import attach_row, attach_stats
 
 ROLLING_YEARS = 3
 
@@ -70,3 +71,15 @@ def yoy_growth(
 def latest_growth(growth: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """The growth figures of the last year present, NULLs included."""
     return growth.groupBy(*keys).agg(*[F.max_by(c, "year").alias(c) for c in GROWTH_COLS])
+
+
+def attach_growth(
+    rows: DataFrame, growth: DataFrame, known: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Known rows get their own year's growth, later ones the latest figures."""
+    own = growth.select(*keys, "year", *GROWTH_COLS)
+    last = latest_growth(growth, keys).withColumnsRenamed({c: f"_last_{c}" for c in GROWTH_COLS})
+    both = attach_row(attach_stats(rows, own, ["year"], keys), last, keys)
+    return both.selectExpr(
+        *rows.columns, *[f"if({known}, {c}, _last_{c}) as {c}" for c in GROWTH_COLS]
+    )

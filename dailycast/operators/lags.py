@@ -29,6 +29,25 @@ def attach_lag(
     return rows.join(lag_table(sales, keys, days), [*keys, "date"], "left")
 
 
+def lag_in_place(
+    rows: DataFrame, keys: Sequence[str], known: str, days: int = LAG_DAYS
+) -> DataFrame:
+    """The same lag where ``rows`` hold the history itself, flagged by ``known``.
+
+    A range frame on the day number looks back exactly ``days`` days. It runs in
+    the partitioning by series that the rows already have, one series at a time.
+    """
+    series = ", ".join(keys)
+    frame = (
+        f"over (partition by {series} order by unix_date(date) "
+        f"range between {days} preceding and {days} preceding)"
+    )
+    return rows.selectExpr(
+        "*",
+        *[f"max(if({known}, {m}, null)) {frame} as lag_1y_{m}" for m in ("revenue", "cogs")],
+    )
+
+
 def fill_history_lag(rows: DataFrame) -> DataFrame:
     """Each lag falls back on its own full-history month-day mean."""
     return rows.withColumns(

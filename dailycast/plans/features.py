@@ -104,60 +104,56 @@ def build_features(
     """Features for every date of ``sales`` and of ``horizon``.
 
     ``sales(keys…, date, revenue, cogs)`` and ``horizon(keys…, date)`` hold one
-    row per date and series. With ``staged`` the inputs, the annual metrics and the
-    finished columns are each written once, because several branches read them and
-    the facts behind them may be very large; ``stage_inputs=False`` says that
-    ``sales`` and ``horizon`` are cheap scans already.
+    row per date and series. Both run through one plan, told apart by a flag: with
+    series keys it needs a single exchange of the daily rows, because every
+    grouping, window and join in it is by series.
+
+    With ``staged`` the daily rows, the annual metrics and the finished columns are
+    each written once, since several branches read them and the facts behind them
+    may be very large. ``stage_inputs=False`` says that ``sales`` and ``horizon``
+    are cheap scans already.
     """
     keys = list(keys)
     spark = sales.sparkSession
-    sales = sales.filter(F.col("date").isNotNull()).select(*keys, "date", "revenue", "cogs")
-    horizon = horizon.select(*keys, "date")
+    rows = sales.selectExpr(*keys, "date", "revenue", "cogs", "true as known").unionByName(
+        horizon.selectExpr(
+            *keys, "date", "double(null) as revenue", "double(null) as cogs", "false as known"
+        )
+    )
+    rows = rows.filter(F.col("date").isNotNull())
     metrics = annual.annual_metrics(facts, keys) if facts else None
     if staged:
-        work = {"annual": metrics}
-        if stage_inputs:
-            work |= {"sales": sales, "horizon": horizon}
+        work = {"rows": rows if stage_inputs else None, "annual": metrics}
         work = {n: df for n, df in work.items() if df is not None}
         done = run_together(spark, [lambda n=n, df=df: stage(df, n) for n, df in work.items()])
-        ready = dict(zip(work, done))
-        sales, horizon = ready.get("sales", sales), ready.get("horizon", horizon)
-        metrics = ready.get("annual", metrics)
+        rows = dict(zip(work, done)).get("rows", rows)
+        metrics = dict(zip(work, done)).get("annual", metrics)
     if keys:
-        # One exchange by series serves every grouping, window and join below.
-        sales, horizon = sales.repartition(*keys), horizon.repartition(*keys)
+        rows = rows.repartition(*keys)
+    sales = rows.filter("known").select(*keys, "date", "revenue", "cogs")
 
     start = seasonal.bounds(sales, keys).select(*keys, "train_start")
-    yoy = growth.yoy_growth(sales, keys, scale)
-    yoy_cols = yoy.select(*keys, "year", *growth.GROWTH_COLS)
-
-    hist = add_calendar(sales, start, keys, base_year)
-    hist = seasonal.attach_seasonal(hist, sales, keys, scale)
-    hist = attach_stats(hist, yoy_cols, ["year"], keys)
-    hist = lags.fill_history_lag(lags.attach_lag(hist, sales, keys))
-
-    ahead = add_calendar(horizon, start, keys, base_year)
-    ahead = seasonal.attach_seasonal(ahead, sales, keys, scale)
-    ahead = attach_row(ahead, growth.latest_growth(yoy, keys), keys)
-    ahead = lags.fill_horizon_lag(lags.attach_lag(ahead, sales, keys))
-
+    full = add_calendar(rows, start, keys, base_year)
+    full = seasonal.attach_seasonal(full, sales, keys, scale)
+    full = growth.attach_growth(full, growth.yoy_growth(sales, keys, scale), "known", keys)
     if metrics is not None:
-        years = ahead.select(*keys, "year").distinct()
+        years = full.filter("not known").select(*keys, "year").distinct()
         metrics = annual.extrapolate(metrics, years, keys)
-        hist = attach_stats(hist, metrics, ["year"], keys)
-        ahead = attach_stats(ahead, metrics, ["year"], keys)
+        full = attach_stats(full, metrics, ["year"], keys)
+    full = lags.lag_in_place(full, keys, "known") if keys else lags.attach_lag(full, sales)
 
     columns = FEATURE_COLS + annual_columns(metrics, keys)
-    fillable = [c for c in columns if c not in DATE_COLS]
-    train = hist.select(*keys, "date", *columns)
-    test = ahead.select(*keys, "date", *columns)
+    wanted = full.select(*keys, "date", "known", "revenue", "cogs", *columns)
     if staged:
         # The medians need the finished columns: compute those once, not twice.
-        finished = [(train, "train_raw"), (test, "horizon_raw")]
-        train, test = run_together(spark, [lambda a=a: stage(*a) for a in finished])
+        wanted = stage(wanted, "features")
+    fillable = [c for c in columns if c not in DATE_COLS]
+    past, ahead = wanted.filter("known"), wanted.filter("not known")
+    train = lags.fill_history_lag(past).select(*keys, "date", *columns)
+    test = lags.fill_horizon_lag(ahead).select(*keys, "date", *columns)
     return FeatureSet(
         train=impute.fill_own_median(train, fillable, keys),
         horizon=impute.fill_own_median(test, fillable, keys),
-        target=sales.select(*keys, "date", "revenue", "cogs"),
+        target=past.select(*keys, "date", "revenue", "cogs"),
         columns=columns,
     )
