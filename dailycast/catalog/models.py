@@ -1,6 +1,6 @@
 """Fitted models over the daily features.
 
-Fits are not expressible in SQL, so these queries have no SQL check; closed
+Most fits are not expressible in SQL, so these queries have no SQL check; closed
 forms, additivity and planted signals are tested instead. They run the full
 steps with few trees; ``ForecastConfig()`` and ``ImportanceConfig()`` hold the
 full-size settings.
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dailycast.catalog.features import feature_set
-from dailycast.catalog.forecasts import MODELS, base_oof
+from dailycast.catalog.forecasts import BASE_SQL, MODELS, base_oof, base_wide
 from dailycast.catalog.registry import query
+from dailycast.catalog.sql import with_ctes
 from dailycast.operators import attribution, ranking, scoring, stack, trees
 from dailycast.plans import forecast as fc
 from dailycast.plans import importance as imp
@@ -112,13 +113,43 @@ def base_matrix(spark, root):
 def meta_query(name):
     def run(spark, root):
         fits = stack.fit_stack(base_matrix(spark, root), list(MODELS), CONFIG.meta_spec(name))
-        return stack.stack_weights(fits, spark)
+        return stack.stack_weights(fits, spark).withColumn("weight", F.round("weight", 4))
 
     return run
 
 
+# Ridge on three columns has a closed form: the normal equations by Cramer's rule.
+RIDGE_SQL = with_ctes(
+    """select 'ridge' as meta_learner, target, unnest(['lag_1y', 'monthday_mean', 'month_mean',
+                                                       'intercept']) as model,
+              unnest([round(w1, 4), round(w2, 4), round(w3, 4),
+                      round(my - w1 * m1 - w2 * m2 - w3 * m3, 4)]) as weight
+       from (select *,
+                    (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det as w1,
+                    (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det as w2,
+                    (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det as w3
+             from (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) as det
+                   from sums))""",
+    {
+        **BASE_SQL,
+        "st": """
+            select date, target, max(pred) filter (model = 'lag_1y') as x1,
+                   max(pred) filter (model = 'monthday_mean') as x2,
+                   max(pred) filter (model = 'month_mean') as x3, max(actual) as y
+            from oof group by 1, 2""",
+        "sums": """
+            select target, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
+                   count(*) * var_pop(x1) + 1 as a, count(*) * covar_pop(x1, x2) as b,
+                   count(*) * covar_pop(x1, x3) as c, count(*) * var_pop(x2) + 1 as d,
+                   count(*) * covar_pop(x2, x3) as e, count(*) * var_pop(x3) + 1 as f,
+                   count(*) * covar_pop(x1, y) as p, count(*) * covar_pop(x2, y) as q,
+                   count(*) * covar_pop(x3, y) as r
+            from st group by 1""",
+    },
+)
+
 for _name in stack.META:
-    query(f"meta_{_name}")(meta_query(_name))
+    query(f"meta_{_name}", RIDGE_SQL if _name == "ridge" else None)(meta_query(_name))
 
 
 @query("stack_weights")
@@ -176,15 +207,27 @@ def forecast_full(spark, root):
     return fc.run_forecast(m, CONFIG).forecast
 
 
-@query("snk_forecast")
+@query(
+    "snk_forecast",
+    with_ctes(
+        """select strftime(date, '%Y-%m-%d') as Date, round_even(r, 2) as Revenue,
+                  round_even(least(greatest(c, 0), 0.995::double * greatest(r, 0)), 2) as COGS,
+                  variant
+           from (select date, 'lag_1y' as variant, lag_1y_revenue as r, lag_1y_cogs as c from wide
+                 union all
+                 select date, 'monthday_mean', hist_monthday_revenue_mean, hist_monthday_cogs_mean
+                 from wide)""",
+        BASE_SQL,
+    ),
+)
 def snk_forecast(spark, root):
-    """Both variants of the base-forecast stack, written and read back."""
-    rows = base_matrix(spark, root)
+    """Two base forecasts as variants: constrained, formatted, written and read back."""
+    wide = base_wide(spark, root)
     out = None
-    for name in ("ridge", "lasso"):
-        fits = stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec(name))
-        wide = stack.constrain(stack.to_wide(stack.predict_stack(rows.drop("actual"), fits)))
-        part = stack.format_forecast(wide).withColumn("variant", F.lit(f"stack_{name}"))
+    for name in ("lag_1y", "monthday_mean"):
+        revenue, cogs = MODELS[name]
+        rows = wide.select("date", F.col(revenue).alias("revenue"), F.col(cogs).alias("cogs"))
+        part = stack.format_forecast(stack.constrain(rows)).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
     path = stage_path(spark, "forecast")
     sinks.write_forecast(out, path)

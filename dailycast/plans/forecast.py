@@ -37,14 +37,14 @@ class ForecastConfig:
         return stack.choose(name or self.meta, rounds=self.meta_rounds)
 
 
-def small_config(rounds: int = 12, trees_per_forest: int = 20, n_splits: int = 5) -> ForecastConfig:
+def small_config(rounds: int = 8, trees_per_forest: int = 20, n_splits: int = 5) -> ForecastConfig:
     """The same steps with few trees and a large step, for trial runs."""
     return ForecastConfig(
         n_splits=n_splits,
         forest=replace(trees.FOREST, max_rounds=trees_per_forest, depth=5),
-        deep=replace(trees.DEEP, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=4, depth=4),
+        deep=replace(trees.DEEP, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=3, depth=4),
         shallow=replace(
-            trees.SHALLOW, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=4, depth=3
+            trees.SHALLOW, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=3, depth=3
         ),
         meta_rounds=20,
     )
@@ -76,23 +76,21 @@ def build_matrix(
     columns, keys = list(columns), list(keys)
     horizon = align_columns(horizon, [*keys, "date", *columns])
     days = folds.assign_folds(train.select("date"), n_splits).select("date", "fold")
-    if days.select("fold").distinct().count() != n_splits + 1:
-        raise ValueError(f"too few dates for {n_splits} folds")
     filled = impute.fill_train_median(train, train, columns, keys, clear_infinite=True)
     ahead = impute.fill_train_median(horizon, train, columns, keys)
-    known = filled.join(days, "date").withColumns(
-        {f"log_{t}": log_target(t) for t in TARGETS}
-    )
-    rows = stage(known, "matrix")
-    total = rows.count()
-    vectors = trees.settle(trees.assemble(rows, columns), total, keys)
-    return Matrix(
-        train=vectors.persist(),
-        horizon=stage(trees.assemble(ahead, columns), "horizon_matrix"),
-        columns=columns,
-        rows=total,
-        keys=tuple(keys),
+    known = filled.join(days, "date").withColumns({f"log_{t}": log_target(t) for t in TARGETS})
+    rows, ahead = run_together(
+        train.sparkSession,
+        [
+            lambda: stage(known, "matrix"),
+            lambda: stage(trees.assemble(ahead, columns), "horizon_matrix"),
+        ],
     )
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fold").alias("k")).first()
+    if size["k"] != n_splits + 1:
+        raise ValueError(f"too few dates for {n_splits} folds")
+    vectors = trees.settle(trees.assemble(rows, columns), size["n"], keys)
+    return Matrix(vectors.persist(), ahead, columns, size["n"], tuple(keys))
 
 
 @dataclass(frozen=True)

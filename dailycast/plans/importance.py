@@ -28,7 +28,7 @@ class ImportanceConfig:
         return (self.forest, self.deep, self.shallow)
 
 
-def small_config(rounds: int = 12, trees_per_forest: int = 20) -> ImportanceConfig:
+def small_config(rounds: int = 8, trees_per_forest: int = 20) -> ImportanceConfig:
     """The same steps with few trees, for trial runs."""
     return ImportanceConfig(
         forest=replace(trees.FOREST, max_rounds=trees_per_forest, depth=5),
