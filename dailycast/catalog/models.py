@@ -71,12 +71,16 @@ def ml_score(spark, root):
 
 @query("ml_round_curve")
 def ml_round_curve(spark, root):
-    """Validation error by round on the last fold."""
+    """Validation error of both boosted models by round, on the last fold."""
     m = matrix(spark, root)
-    k = CONFIG.n_splits
-    model = trees.fit(m.train.filter(F.col("fold") < k), "log_revenue", CONFIG.shallow)
-    ensemble = trees.load_ensemble(trees.node_table(spark, model))
-    return trees.round_curve(m.train.filter(F.col("fold") == k), "log_revenue", ensemble)
+    cells = [
+        trees.Cell(spec.name, CONFIG.n_splits, "log_revenue", spec)
+        for spec in (CONFIG.deep, CONFIG.shallow)
+    ]
+    past = m.train.filter(F.col("fold") < CONFIG.n_splits)
+    saved = {c.name: trees.save(trees.fit(past, c.label, c.spec)) for c in cells}
+    models = trees.load_ensembles(trees.node_tables(spark, saved))
+    return trees.round_curves(m.train, cells, models)
 
 
 def cv(spark, root):

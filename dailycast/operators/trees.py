@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import MAPE_EPS
-from dailycast.sources.staging import stage_path
+from dailycast.sources.staging import run_together, stage_path
 
 ROWS_PER_PARTITION = 200_000
 
@@ -89,14 +89,36 @@ def fit(df: DataFrame, label: str, spec: TreeSpec, rounds: int | None = None):
     return est.fit(df)
 
 
-def node_table(spark: SparkSession, model) -> DataFrame:
-    """One row per node: ``tree, weight, id, feature, threshold, …`` from the saved model."""
-    path = stage_path(spark, "model")
+@dataclass(frozen=True)
+class Saved:
+    """Where a fitted model was written, and the weights of its trees."""
+
+    path: str
+    weights: list[float]
+
+
+def save(model) -> Saved:
+    path = stage_path(SparkSession.active(), "model")
     model.write().save(path)
-    weights = spark.createDataFrame(
-        [(i, float(w)) for i, w in enumerate(_weights(model))], "tree int, weight double"
+    return Saved(path, _weights(model))
+
+
+def node_tables(spark: SparkSession, saved: dict[str, Saved]) -> DataFrame:
+    """One row per node of every model: ``model, tree, weight, id, feature, …``.
+
+    All models are read in one scan, told apart by the folder they lie in.
+    """
+    folders = {s.path.rsplit("/", 1)[1]: name for name, s in saved.items()}
+    owner = spark.createDataFrame(
+        [
+            (folder, name, i, float(w))
+            for folder, name in folders.items()
+            for i, w in enumerate(saved[name].weights)
+        ],
+        "folder string, model string, tree int, weight double",
     )
-    nodes = spark.read.parquet(f"{path}/data").selectExpr(
+    nodes = spark.read.parquet(*[f"{s.path}/data" for s in saved.values()]).selectExpr(
+        "element_at(split(_metadata.file_path, '/'), -3) as folder",
         "treeID as tree",
         "nodeData.id as id",
         "nodeData.prediction as value",
@@ -107,7 +129,11 @@ def node_table(spark: SparkSession, model) -> DataFrame:
         "nodeData.split.featureIndex as feature",
         "get(nodeData.split.leftCategoriesOrThreshold, 0) as threshold",
     )
-    return nodes.join(F.broadcast(weights), "tree")  # one row per tree
+    return nodes.join(F.broadcast(owner), ["folder", "tree"]).drop("folder")  # a row per tree
+
+
+def node_table(spark: SparkSession, model) -> DataFrame:
+    return node_tables(spark, {"model": save(model)}).drop("model")
 
 
 def _weights(model) -> list[float]:
@@ -157,21 +183,26 @@ class Ensemble:
         return total
 
 
-def load_ensemble(nodes: DataFrame) -> Ensemble:
-    """Bring the node table of one model to the driver (model-sized, see ``Ensemble``)."""
-    table = nodes.toPandas().sort_values(["tree", "id"])
-    out = Ensemble(weights=[])
-    for _, t in table.groupby("tree", sort=True):
-        out.weights.append(float(t["weight"].iloc[0]))
-        out.feature.append(t["feature"].to_numpy(np.int64))
-        out.threshold.append(t["threshold"].to_numpy(np.float64))
-        out.left.append(t["left"].to_numpy(np.int64))
-        out.right.append(t["right"].to_numpy(np.int64))
-        out.value.append(t["value"].to_numpy(np.float64))
-        out.rows.append(t["n_rows"].to_numpy(np.float64))
+def load_ensembles(nodes: DataFrame) -> dict[str, Ensemble]:
+    """Bring node tables to the driver (model-sized, see ``Ensemble``)."""
+    table = nodes.toPandas().sort_values(["model", "tree", "id"])
+    out: dict[str, Ensemble] = {}
+    for (name, _), t in table.groupby(["model", "tree"], sort=True):
+        e = out.setdefault(name, Ensemble(weights=[]))
+        e.weights.append(float(t["weight"].iloc[0]))
+        e.feature.append(t["feature"].to_numpy(np.int64))
+        e.threshold.append(t["threshold"].to_numpy(np.float64))
+        e.left.append(t["left"].to_numpy(np.int64))
+        e.right.append(t["right"].to_numpy(np.int64))
+        e.value.append(t["value"].to_numpy(np.float64))
+        e.rows.append(t["n_rows"].to_numpy(np.float64))
     return out
 
 
+def load_ensemble(nodes: DataFrame) -> Ensemble:
+    return load_ensembles(nodes.withColumn("model", F.lit("model")))["model"]
+
+
 def as_matrix(batch: pd.Series) -> np.ndarray:
     return np.stack(batch.to_numpy()) if len(batch) else np.empty((0, 0))
 
@@ -198,76 +229,121 @@ def score_ensembles(df: DataFrame, ensembles: dict[str, Ensemble]) -> DataFrame:
     return rows.mapInPandas(score, schema)
 
 
-def round_curve(df: DataFrame, label: str, ensemble: Ensemble) -> DataFrame:
-    """``round, mape`` on the rows of ``df`` after each round, in one pass.
+@dataclass(frozen=True)
+class Cell:
+    """One fit: trained on the folds before ``fold``, watched on ``fold`` itself."""
+
+    name: str
+    fold: int
+    label: str
+    spec: TreeSpec
 
-    Tasks return one partial sum per round and batch, never a row per round and
-    input row.
+
+def round_curves(df: DataFrame, cells: Sequence[Cell], models: dict[str, Ensemble]) -> DataFrame:
+    """``model, round, mape`` of every cell on its own fold, in one pass over the rows.
+
+    Tasks return one partial sum per model, round and batch, never a row per
+    round and input row.
     """
-    shared = df.sparkSession.sparkContext.broadcast(ensemble)
+    wanted = {c.name: models[c.name] for c in cells}
+    shared = df.sparkSession.sparkContext.broadcast(wanted)
+    by_fold: dict[int, list[Cell]] = {}
+    for c in cells:
+        by_fold.setdefault(c.fold, []).append(c)
+    labels = sorted({c.label for c in cells})
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            x, y = as_matrix(b["_x"]), b["_y"].to_numpy(np.float64)
-            scale = np.abs(y) + MAPE_EPS
-            running = np.zeros(len(b))
-            errors = []
-            for t in range(len(shared.value)):
-                running = running + shared.value.tree_output(t, x)
-                errors.append(float(np.sum(np.abs(y - running) / scale)))
-            yield pd.DataFrame(
-                {"round": np.arange(1, len(errors) + 1), "error": errors, "n": len(b)}
-            )
-
-    rows = df.select(vector_to_array("features").alias("_x"), F.col(label).alias("_y"))
+            for fold, rows in b.groupby("fold"):
+                x = as_matrix(rows["_x"])
+                for c in by_fold.get(fold, []):
+                    y = rows[c.label].to_numpy(np.float64)
+                    scale, running, errors = np.abs(y) + MAPE_EPS, np.zeros(len(y)), []
+                    for t in range(len(shared.value[c.name])):
+                        running = running + shared.value[c.name].tree_output(t, x)
+                        errors.append(float(np.sum(np.abs(y - running) / scale)))
+                    rounds = np.arange(1, len(errors) + 1)
+                    yield pd.DataFrame(
+                        {"model": c.name, "round": rounds, "error": errors, "n": len(y)}
+                    )
+
+    rows = df.filter(F.col("fold").isin(list(by_fold))).select(
+        "fold", *labels, vector_to_array("features").alias("_x")
+    )
     return (
-        rows.mapInPandas(partial, "round int, error double, n long")
-        .groupBy("round")
+        rows.mapInPandas(partial, "model string, round int, error double, n long")
+        .groupBy("model", "round")
         .agg(F.try_divide(F.sum("error"), F.sum("n")).alias("mape"))
     )
 
 
-def pick_round(curve: DataFrame, patience: int) -> DataFrame:
-    """``best_round, stop_round, stopped`` of a curve (at most ``max_rounds`` rows).
+def pick_rounds(curves: DataFrame, patience: int) -> DataFrame:
+    """``model, best_round, stop_round, stopped`` from curves of bounded length.
 
     Training stops at the first round that is ``patience`` rounds past the best
     one so far; without such a round it runs to the end.
     """
-    so_far = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    best = curve.withColumn("_best", F.min(F.struct("mape", "round")).over(so_far))
+    so_far = (
+        Window.partitionBy("model").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    best = curves.withColumn("_best", F.min(F.struct("mape", "round")).over(so_far))
     waited = F.col("round") - F.col("_best.round") >= patience
     stop = F.min(F.when(waited, F.struct("round", "_best")))
     last = F.max_by(F.struct("round", "_best"), "round")
-    return best.agg(stop.alias("stop"), last.alias("last")).select(
+    return best.groupBy("model").agg(stop.alias("stop"), last.alias("last")).select(
+        "model",
         F.coalesce("stop._best.round", "last._best.round").alias("best_round"),
         F.coalesce("stop.round", "last.round").alias("stop_round"),
         F.col("stop").isNotNull().alias("stopped"),
     )
 
 
-def fit_with_patience(
-    train: DataFrame, valid: DataFrame, label: str, spec: TreeSpec
-) -> tuple[Ensemble, int]:
-    """Boost until the validation error has not improved for ``patience`` rounds.
+def fit_cells(
+    train: DataFrame, cells: Sequence[Cell], workers: int = 8
+) -> dict[str, tuple[Ensemble, int]]:
+    """Fit every cell; boosted ones until their fold's error stops improving.
 
     A shorter fit with the same seed and partitioning is an exact prefix of a
-    longer one, so the length doubles until the stopping round lies inside it:
-    at most twice the rounds needed, instead of always ``max_rounds``.
+    longer one, so a cell's length doubles until its stopping round lies inside
+    it: at most twice the rounds needed, instead of always ``max_rounds``. The
+    independent fits of a pass run together, and one scan scores them all.
     """
     spark = train.sparkSession
-    if spec.patience is None:
-        ensemble = load_ensemble(node_table(spark, fit(train, label, spec)))
-        return ensemble, len(ensemble)
-    rounds = min(spec.first_rounds, spec.max_rounds)
-    while True:
-        ensemble = load_ensemble(node_table(spark, fit(train, label, spec, rounds)))
-        choice = pick_round(round_curve(valid, label, ensemble), spec.patience).first()
-        if choice["stopped"] or rounds >= spec.max_rounds:
-            used = choice["best_round"] if spec.keep_best else choice["stop_round"]
-            return ensemble.prefix(used), used
-        rounds = min(rounds * 2, spec.max_rounds)
+    length = {
+        c.name: c.spec.max_rounds if c.spec.patience is None
+        else min(c.spec.first_rounds, c.spec.max_rounds)
+        for c in cells
+    }
+    done, pending = {}, list(cells)
+    while pending:
+        def one(c: Cell) -> Saved:
+            return save(fit(train.filter(F.col("fold") < c.fold), c.label, c.spec, length[c.name]))
+
+        saved = run_together(spark, [lambda c=c: one(c) for c in pending], workers)
+        models = load_ensembles(node_tables(spark, dict(zip([c.name for c in pending], saved))))
+        choice = {}
+        watched = [c for c in pending if c.spec.patience is not None]
+        if watched:
+            curves = round_curves(train, watched, models).persist()
+            for p in {c.spec.patience for c in watched}:
+                names = [c.name for c in watched if c.spec.patience == p]
+                picked = pick_rounds(curves.filter(F.col("model").isin(names)), p)
+                choice.update({r["model"]: r for r in picked.collect()})  # one row per model
+            curves.unpersist()
+        again = []
+        for c in pending:
+            picked = choice.get(c.name)
+            if picked is None:
+                used = len(models[c.name])
+            elif picked["stopped"] or length[c.name] >= c.spec.max_rounds:
+                used = picked["best_round"] if c.spec.keep_best else picked["stop_round"]
+            else:
+                length[c.name] = min(length[c.name] * 2, c.spec.max_rounds)
+                again.append(c)
+                continue
+            done[c.name] = (models[c.name].prefix(used), used)
+        pending = again
+    return done
 
 
 def impurity_importance(spark: SparkSession, model, columns: Sequence[str]) -> DataFrame:

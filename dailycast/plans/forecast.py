@@ -109,27 +109,22 @@ def run_cv(matrix: Matrix, config: ForecastConfig) -> CvResult:
     fold's models then score their rows together in one pass.
     """
     spark = matrix.train.sparkSession
-    cells = [
-        (k, spec, target)
-        for k in range(1, config.n_splits + 1)
+    folds_ = range(1, config.n_splits + 1)
+    cells = {
+        (k, spec.name, t): trees.Cell(f"{k}_{spec.name}_{t}", k, f"log_{t}", spec)
+        for k in folds_
         for spec in config.specs
-        for target in TARGETS
-    ]
-
-    def fit_cell(k: int, spec: trees.TreeSpec, target: str):
-        past = matrix.train.filter(F.col("fold") < k)
-        now = matrix.train.filter(F.col("fold") == k)
-        return trees.fit_with_patience(past, now, f"log_{target}", spec)
-
-    fitted = run_together(spark, [lambda c=c: fit_cell(*c) for c in cells], config.workers)
-    used = [(k, s.name, t, n) for (k, s, t), (_, n) in zip(cells, fitted)]
+        for t in TARGETS
+    }
+    fitted = trees.fit_cells(matrix.train, list(cells.values()), config.workers)
+    used = [(*key, fitted[c.name][1]) for key, c in cells.items()]
 
     names = {s.name: tuple(f"{s.name}_{t}" for t in TARGETS) for s in config.specs}
     base = [*matrix.keys, "date"]
     validated, ahead = [], []
-    for k in range(1, config.n_splits + 1):
+    for k in folds_:
         models = {
-            f"{s.name}_{t}": e for (f, s, t), (e, _) in zip(cells, fitted) if f == k
+            f"{m}_{t}": fitted[c.name][0] for (f, m, t), c in cells.items() if f == k
         }
         unlogged = {m: unlog(m) for m in models}
         now = matrix.train.filter(F.col("fold") == k).select(*base, *TARGETS, "features")

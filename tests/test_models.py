@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dailycast.operators import attribution, ranking, scoring, stack, trees
 from dailycast.plans import forecast as fc
@@ -60,7 +61,10 @@ def test_round_curve_by_hand(spark, matrix):
     e = trees.load_ensemble(trees.node_table(spark, model))
     rows = matrix.train.select("features", "log_revenue").collect()
     y = np.array([r["log_revenue"] for r in rows])
-    got = {r["round"]: r["mape"] for r in trees.round_curve(matrix.train, "log_revenue", e).collect()}
+    cell = trees.Cell("a", 0, "log_revenue", fc.small_config().shallow)
+    everything = matrix.train.withColumn("fold", F.lit(0))
+    curve = trees.round_curves(everything, [cell], {"a": e}).collect()
+    got = {r["round"]: r["mape"] for r in curve}
     for k in range(1, 5):
         want = np.mean(np.abs(y - e.prefix(k).predict(dense(rows))) / (np.abs(y) + 1e-9))
         assert got[k] == pytest.approx(want)
@@ -75,8 +79,10 @@ def test_round_curve_by_hand(spark, matrix):
     ],
 )
 def test_patience(spark, curve, patience, expected):
-    df = spark.createDataFrame([(i, float(m)) for i, m in enumerate(curve, 1)], "round int, mape double")
-    assert tuple(trees.pick_round(df, patience).first()) == expected
+    rows = [("a", i, float(m)) for i, m in enumerate(curve, 1)] + [("b", 1, 9.0)]
+    df = spark.createDataFrame(rows, "model string, round int, mape double")
+    got = {r["model"]: tuple(r)[1:] for r in trees.pick_rounds(df, patience).collect()}
+    assert got == {"a": expected, "b": (1, 1, False)}
 
 
 def test_length_doubles_until_stopped(spark, matrix):
@@ -84,11 +90,15 @@ def test_length_doubles_until_stopped(spark, matrix):
         "t", "boosted", max_rounds=16, depth=3, min_rows=3, feature_share="all", step=0.5,
         patience=3, first_rounds=2, keep_best=True,
     )
-    past, now = matrix.train.filter("fold < 5"), matrix.train.filter("fold = 5")
-    ensemble, used = trees.fit_with_patience(past, now, "log_revenue", spec)
-    full = trees.load_ensemble(trees.node_table(spark, trees.fit(past, "log_revenue", spec, 16)))
-    best = trees.pick_round(trees.round_curve(now, "log_revenue", full), 3).first()["best_round"]
-    assert used == best == len(ensemble)
+    cells = [trees.Cell(t, 5, f"log_{t}", spec) for t in ("revenue", "cogs")]
+    fitted = trees.fit_cells(matrix.train, cells)
+    past = matrix.train.filter("fold < 5")
+    for c in cells:
+        ensemble, used = fitted[c.name]
+        full = trees.load_ensemble(trees.node_table(spark, trees.fit(past, c.label, spec, 16)))
+        curve = trees.round_curves(matrix.train, [c], {c.name: full})
+        best = trees.pick_rounds(curve, 3).first()["best_round"]
+        assert used == best == len(ensemble)
 
 
 def brute_shapley(ensemble, x, n_features):
