@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import mape, r2
 from dailycast.functions.numeric import cap_to_margin, clipped_expm1, floor_zero, log_target
-from dailycast.operators.linear import META, MetaFit, MetaSpec, choose, fit_meta, weight_rows
+from dailycast.operators.linear import META, MetaFit, MetaSpec, fit_meta, weight_rows
 from dailycast.operators.scoring import TARGETS
+from dailycast.sources.staging import run_together
 
 # The residual layer's penalties per target.
 RESIDUAL = {
@@ -31,7 +32,16 @@ def fit_stack(
     matrix: DataFrame, models: Sequence[str], spec: MetaSpec
 ) -> dict[str, MetaFit]:
     """One meta-learner per target, fitted on raw (not log) amounts."""
-    return {t: fit_meta(of_target(matrix, t), models, "actual", spec) for t in TARGETS}
+    return _fit_targets(matrix, models, "actual", {t: spec for t in TARGETS})
+
+
+def _fit_targets(rows: DataFrame, columns, label: str, specs: dict) -> dict[str, MetaFit]:
+    """The two targets' fits are independent, so they run at the same time."""
+    fits = run_together(
+        rows.sparkSession,
+        [lambda t=t, s=s: fit_meta(of_target(rows, t), columns, label, s) for t, s in specs.items()],
+    )
+    return dict(zip(specs, fits))
 
 
 def predict_stack(
@@ -81,7 +91,7 @@ def fit_residual(
     """
     gap = log_target("actual") - log_target(floor_zero("pred"))
     rows = stacked.withColumn("_gap", gap).join(features, [*keys, "date"])
-    return {t: fit_meta(of_target(rows, t), columns, "_gap", RESIDUAL[t]) for t in TARGETS}
+    return _fit_targets(rows, columns, "_gap", RESIDUAL)
 
 
 def predict_residual(
@@ -119,9 +129,11 @@ def compare_stackers(
     comparison order, which decides between equal scores.
     """
     actual = matrix.select(*keys, "date", "target", "actual")
-    boards = []
-    for i, spec in enumerate(specs or META.values()):
-        fits = fit_stack(matrix, models, spec)
+    boards, specs = [], list(specs or META.values())
+    fitted = run_together(
+        matrix.sparkSession, [lambda s=s: fit_stack(matrix, models, s) for s in specs]
+    )
+    for i, (spec, fits) in enumerate(zip(specs, fitted)):
         wide = constrain(to_wide(predict_stack(matrix, fits, keys), keys))
         long = wide.select(
             *keys,
@@ -164,10 +176,3 @@ def pick_variant(scores: DataFrame, variants: Sequence[str]) -> DataFrame:
     )
     best = F.min_by(F.struct("variant", "total_mape"), F.struct("total_mape", order))
     return totals.agg(best.alias("b")).select("b.variant", "b.total_mape")
-
-
-__all__ = [
-    "META", "RESIDUAL", "best_stacker", "choose", "compare_stackers", "constrain", "fit_residual",
-    "fit_stack", "format_forecast", "pick_variant", "predict_residual", "predict_stack",
-    "stack_weights", "to_wide",
-]

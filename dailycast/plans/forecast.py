@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.numeric import log_target, unlog
-from dailycast.operators import folds, impute, scoring, stack, trees
+from dailycast.operators import folds, impute, linear, scoring, stack, trees
 from dailycast.sources.staging import run_together, stage
 from dailycast.sources.tables import align_columns
 
@@ -34,7 +34,7 @@ class ForecastConfig:
         return (self.forest, self.deep, self.shallow)
 
     def meta_spec(self, name: str | None = None):
-        return stack.choose(name or self.meta, rounds=self.meta_rounds)
+        return linear.choose(name or self.meta, rounds=self.meta_rounds)
 
 
 def small_config(rounds: int = 8, trees_per_forest: int = 20, n_splits: int = 5) -> ForecastConfig:
