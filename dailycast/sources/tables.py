@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,17 +91,16 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(c) for c in floats}) if floats else df
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path exists on whatever file system it names."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(hadoop_path))
-
-
 def read_optional(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv"
 ) -> DataFrame | None:
-    return read_table(spark, path, schema, fmt) if table_exists(spark, path) else None
+    """``None`` where the path does not exist; any other problem still raises."""
+    try:
+        return read_table(spark, path, schema, fmt)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_sales(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
