@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.llm import token_counts
+from dailycast.llm import decontaminate, line_runs, token_counts
 from dailycast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,48 @@ def op1_token_counts(spark, root):
         "n_tokens",
         (F.col("n_tokens") > 1024).alias("over_limit"),
     )
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, table(spark, root, "benchmark"))
+    hit = F.col("contamination")
+    return found.select(
+        "doc_id",
+        hit["n_words"].alias("n_words"),
+        hit["n_hit"].alias("n_hit"),
+        F.size(hit["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(hit["items"], ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(hit).alias("contaminated"),
+    )
+
+
+@query(
+    "op9_line_dedup",
+    r"""
+    with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as body from documents),
+    lines as (
+        select rid, doc_id, unnest(string_split(body, chr(10))) as line,
+               generate_subscripts(string_split(body, chr(10)), 1) as pos
+        from docs),
+    keyed as (
+        select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from lines),
+    common as (
+        select key from keyed where length(key) >= 1 group by key having count(distinct rid) >= 10),
+    marked as (select k.*, c.key is not null as gone from keyed k left join common c using (key))
+    select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+    from marked group by rid, doc_id""",
+)
+def op9_line_dedup(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    done = line_runs.drop_common_lines(docs)
+    return done.select(
+        "doc_id",
+        F.col("line_dedup.n_lines").alias("n_lines"),
+        F.col("line_dedup.n_dropped").alias("n_dropped"),
+        F.sha2(F.col("line_dedup.kept"), 256).alias("kept_sha256"),
+    )
