@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.llm import decontaminate, line_runs, token_counts
+from dailycast.llm import decontaminate, line_runs, pivot_simhash, token_counts
 from dailycast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,13 @@ def op9_line_dedup(spark, root):
         F.col("line_dedup.n_dropped").alias("n_dropped"),
         F.sha2(F.col("line_dedup.kept"), 256).alias("kept_sha256"),
     )
+
+
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark, root):
+    found = pivot_simhash.near_duplicates(table(spark, root, "documents"))
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
