@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.llm import decontaminate, line_runs, pivot_simhash, token_counts
+from dailycast.llm import (
+    decontaminate,
+    line_runs,
+    passage_quality,
+    pivot_simhash,
+    token_counts,
+    toxic_segments,
+)
 from dailycast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +97,36 @@ def op5_simhash_dedup(spark, root):
         F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+def fold(divisor: int):
+    """The remainder that says whether a document's label may be learned from."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def known_labels(spark, root, column: str, learn) -> DataFrame:
+    return table(spark, root, "labels").filter(learn).select("doc_id", F.col(column).alias("label"))
+
+
+def judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op3_quality")
+def op3_quality(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    labels = known_labels(spark, root, "quality", fold(3) != 1)
+    return judged(passage_quality.score_quality(docs, labels), fold(3) == 1)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    labels = known_labels(spark, root, "toxic", fold(5) != 0)
+    scored = toxic_segments.score_toxicity(docs, labels)
+    return judged(scored.withColumn("score", F.col("toxicity.score")), fold(5) == 0)
