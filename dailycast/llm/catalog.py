@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dailycast.llm import (
+    best_fit,
     decontaminate,
     line_runs,
     passage_quality,
@@ -130,3 +131,15 @@ def op7_toxicity(spark, root):
     labels = known_labels(spark, root, "toxic", fold(5) != 0)
     scored = toxic_segments.score_toxicity(docs, labels)
     return judged(scored.withColumn("score", F.col("toxicity.score")), fold(5) == 0)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Documents cut, numbered and packed as the packing contract has it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = best_fit.document_pieces(docs, path, keep_ids=False).drop("ids")
+    return best_fit.pack(pieces)
+
+
+@query("op10_packing")
+def op10_packing(spark, root):
+    return packed(table(spark, root, "documents").select("doc_id", "text"))
