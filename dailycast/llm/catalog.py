@@ -14,6 +14,7 @@ from dailycast.llm import (
     line_runs,
     passage_quality,
     pivot_simhash,
+    projection_forest,
     token_counts,
     toxic_segments,
 )
@@ -143,3 +144,8 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark, root):
     return packed(table(spark, root, "documents").select("doc_id", "text"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark, root):
+    return projection_forest.nearest(table(spark, root, "embeddings"), F.col("id") % 20 == 0)
