@@ -15,6 +15,7 @@ from dailycast.llm import (
     passage_quality,
     pivot_simhash,
     projection_forest,
+    suffix_lm,
     token_counts,
     toxic_segments,
 )
@@ -149,3 +150,11 @@ def op10_packing(spark, root):
 @query("op4_nearest_neighbours")
 def op4_nearest_neighbours(spark, root):
     return projection_forest.nearest(table(spark, root, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op2_lm_scores")
+def op2_lm_scores(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    scored = suffix_lm.score_documents(docs, F.coalesce(fold(7) != 2, F.lit(True)))
+    held_out = F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
