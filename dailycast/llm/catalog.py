@@ -14,6 +14,7 @@ from dailycast.llm import (
     line_runs,
     passage_quality,
     pivot_simhash,
+    preference_chat,
     projection_forest,
     suffix_lm,
     token_counts,
@@ -158,3 +159,55 @@ def op2_lm_scores(spark, root):
     scored = suffix_lm.score_documents(docs, F.coalesce(fold(7) != 2, F.lit(True)))
     held_out = F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out")
     return scored.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def shown_spans(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["first"], s["last"])), ",")
+
+
+@query(
+    "op8_preference_chat",
+    """
+    with turns as (
+        select conv_id // 2 as pair_id, conv_id % 2 = 0 as side, coalesce(role, '') as role, coalesce(text, '') as body,
+               row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+        from conversations),
+    sizes as (
+        select pair_id, count(*) filter (where side) as n_chosen, count(*) filter (where not side) as n_rejected
+        from turns group by pair_id),
+    met as (
+        select pair_id, pos, count(*) = 2 and count(distinct role || chr(0) || body) = 1 as same
+        from turns group by pair_id, pos),
+    common as (
+        select pair_id, coalesce(min(pos) filter (where not same) - 1, max(pos)) as n_common from met group by pair_id),
+    drawn as (
+        select t.*, n_common, '<|im_start|>' || role || chr(10) || body || '<|im_end|>' || chr(10) as shown
+        from turns t join common using (pair_id)),
+    placed as (
+        select *, coalesce(sum(length(shown)) over (
+                      partition by pair_id, side, pos > n_common order by pos
+                      rows between unbounded preceding and 1 preceding), 0) + 13 + length(role) as first
+        from drawn)
+    select pair_id, any_value(n_common)::integer as n_common, any_value(n_chosen)::integer as n_chosen,
+           any_value(n_rejected)::integer as n_rejected,
+           coalesce(string_agg(shown, '' order by pos) filter (where side and pos <= n_common), '') as prompt,
+           case when any_value(n_chosen) > 0 then
+               coalesce(string_agg(shown, '' order by pos) filter (where side and pos > n_common), '') end as chosen,
+           case when any_value(n_chosen) > 0 then
+               coalesce(string_agg(first::bigint || '-' || (first + length(body) + 10)::bigint, ',' order by pos)
+                        filter (where side and pos > n_common and role = 'assistant'), '') end as chosen_mask,
+           case when any_value(n_rejected) > 0 then
+               coalesce(string_agg(shown, '' order by pos) filter (where not side and pos > n_common), '') end as rejected,
+           case when any_value(n_rejected) > 0 then
+               coalesce(string_agg(first::bigint || '-' || (first + length(body) + 10)::bigint, ',' order by pos)
+                        filter (where not side and pos > n_common and role = 'assistant'), '') end as rejected_mask
+    from placed join sizes using (pair_id) group by pair_id""",
+)
+def op8_preference_chat(spark, root):
+    """Conversations 2k and 2k + 1 are a pair, the even one chosen."""
+    turns = table(spark, root, "conversations")
+    turns = turns.withColumn("pair_id", F.floor(F.col("conv_id") / 2)).withColumn("is_chosen", F.col("conv_id") % 2 == 0)
+    pairs = preference_chat.preference_pairs(turns, "pair_id", "is_chosen")
+    return pairs.withColumn("chosen_mask", shown_spans("chosen_mask")).withColumn(
+        "rejected_mask", shown_spans("rejected_mask")
+    )
