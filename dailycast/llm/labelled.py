@@ -45,4 +45,5 @@ def fit_on_sample(
             [pa.array([fit([r[1] for r in rows], [r[2] for r in rows])], pa.binary())], names=["model"]
         )
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    fitted = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(fitted["model"]) if fitted else fit([], [])  # no task ran over no rows
