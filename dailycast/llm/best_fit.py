@@ -9,6 +9,7 @@ and the next superstep follows, until every piece has a place. A gap serves one
 superstep, as many pieces of it as best fit would put there.
 """
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,20 +27,44 @@ CAPACITY = 2048
 CACHE_SIZE, WORD_BYTES = 400_000, 48
 
 
+#: Words of letters that neither normalising nor pre-tokenizing changes, case apart.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbe])+")
+_MARKS = frozenset(b".,;:!?")
+
+
+def _byte_letters() -> list[str]:
+    """The letters that byte-level models write bytes as: printable ones as they are."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
+
+
 class WordIds(dict):
     """Ids of blank-separated words as little-endian 32-bit numbers.
 
-    The tokenizer drops white space, so a text's ids are those of its words in order.
+    The tokenizer drops white space, so a text's ids are those of its words in order. Plain
+    words go to the tokenizer's model at once; a mark after a letter is a word of its own.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # a new handle at each access
+        self.letters = _byte_letters()
+
+    def _ids(self, word: bytes) -> bytes:
+        if _PLAIN.fullmatch(word):
+            letters = "".join([self.letters[b] for b in word.lower()])
+            ids = [t.id for t in self.model.tokenize(letters)]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.encode(word.decode(), add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
+        if len(word) > 1 and word[-1] in _MARKS and _PLAIN.fullmatch(word[-2:-1]):
+            return self[word[:-1]] + self[word[-1:]]
+        value = self._ids(word)
         if len(word) <= WORD_BYTES:
             if len(self) >= CACHE_SIZE:
                 self.clear()
