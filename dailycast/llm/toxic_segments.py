@@ -167,15 +167,19 @@ def fit_model(texts: list[bytes], labels: list[int]) -> bytes:
 
 
 class WordScores(dict):
+    """Scores of the words met so far; those of new words are computed together."""
+
     def __init__(self, m: dict):
         self.m = m
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_SIZE:
+    def meet(self, words: list[bytes]) -> None:
+        new = [w for w in set(words) if w not in self]
+        if len(self) + len(new) > CACHE_SIZE:
             self.clear()
-        value = float(log_odds(np.array(features(word)), self.m)[0])
-        self[word] = value
-        return value
+            new = list(set(words))
+        if new:
+            buckets = np.array([features(w) for w in new], np.int64)
+            self.update(zip(new, log_odds(buckets, self.m).tolist()))
 
 
 _WORKER: dict = {}
@@ -214,6 +218,7 @@ def score_toxicity(
             scores, found = [], []
             for t in batch_texts(batch):
                 words = split_words(t)
+                table.meet(words)
                 values = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
                 marks = np.fromiter(map(hash, words), np.int64, len(words))
                 some, x = evidence(token_scores(marks, values), m["rate"], m["factor"])
