@@ -6,8 +6,8 @@ SPLIT = "2000-01-01"
 
 
 def msum(x: str) -> str:
-    """Exact money total in cents, as DOUBLE."""
-    return f"(coalesce(sum(cast(floor({x} * 100 + 0.5) as bigint)), 0)::bigint::double / 1e2)"
+    """Total of amounts in steps of 1e-8, the same in any order, as DOUBLE."""
+    return f"(coalesce(sum(cast(floor({x} * 1e8 + 0.5) as bigint)), 0)::hugeint::double / 1e8)"
 
 
 def mavg(x: str) -> str:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 # Fixed values the forecasts depend on.
 CLIP_LOG = 20.0
 MARGIN_CAP = 0.995
-MONEY_SCALE = 2
+
+# Amounts are added as whole steps of 1e-8, in two parts of at most nine low digits.
+STEPS = 100_000_000
+PART = 1_000_000_000
 
 
 def _c(x: Column | str) -> Column:
@@ -44,30 +47,39 @@ def nan_to_null(x: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def minor_units(x: Column | str, scale: int = MONEY_SCALE) -> Column:
-    """A money amount as a BIGINT count of its smallest unit."""
-    return F.floor(_c(x) * F.lit(float(10**scale)) + F.lit(0.5))
+def amount_units(x: Column | str) -> Column:
+    """An amount as a BIGINT count of steps of 1e-8; NULL unless finite.
+
+    Amounts up to 9e10 fit. A double of that size has fewer digits, and of smaller ones
+    no more than the ninth decimal is lost.
+    """
+    return F.expr(_units(x)) if isinstance(x, str) else F.when(
+        is_finite(x), F.floor(x * F.lit(float(STEPS)) + F.lit(0.5))
+    )
+
+
+def _units(x: str) -> str:
+    return f"if(abs({x}) < double('inf'), floor(({x}) * {STEPS}D + 0.5D), null)"
 
 
-def money_sum(x: str, scale: int | None = MONEY_SCALE) -> Column:
-    """Sum of the SQL expression ``x`` that treats an all-NULL group as 0.
+def units_total(u: str) -> str:
+    """SQL for the exact sum of BIGINT units as an amount, 0 for none.
 
-    With a scale the sum runs over BIGINT units: it is exact, stays in
-    generated code, and does not depend on the order in which partitions
-    arrive. ``scale=None`` adds doubles as they come.
+    High and low digits are summed apart, so the sum stays in BIGINT arithmetic, cannot
+    overflow at any size and does not depend on the order in which partitions arrive.
     """
-    return F.expr(_money_sum(x, scale))
+    high = f"cast(coalesce(sum(({u}) div {PART}), 0L) as decimal(20, 0)) * {PART}"
+    return f"(cast({high} + coalesce(sum(({u}) % {PART}), 0L) as double) / {STEPS}D)"
 
 
-def money_mean(x: str, scale: int | None = MONEY_SCALE) -> Column:
-    """Mean of the SQL expression ``x`` over its non-NULL values; NULL if none."""
-    return F.expr(f"try_divide({_money_sum(x, scale)}, count({x}))")
+def money_sum(x: str) -> Column:
+    """Exact sum of the finite values of the SQL expression ``x``; 0 if there are none."""
+    return F.expr(units_total(_units(x)))
 
 
-def _money_sum(x: str, scale: int | None) -> str:
-    if scale is None:
-        return f"coalesce(sum({x}), 0D)"
-    return f"(cast(coalesce(sum(floor(({x}) * 1e{scale}D + 0.5D)), 0L) as double) / 1e{scale}D)"
+def money_mean(x: str) -> Column:
+    """Mean of the finite values of the SQL expression ``x``; NULL if there are none."""
+    return F.expr(f"try_divide({units_total(_units(x))}, count(if(abs({x}) < double('inf'), 1, null)))")
 
 
 def log_target(x: Column | str) -> Column:

@@ -2,8 +2,9 @@
 
 Everything is combined before it is shuffled: a customer, order or year that
 holds a large share of the rows reaches an exchange as one row per map task.
-Order-level tables are joined on ``order_id`` in the partitioning that their own
-aggregation produced.
+Orders are grouped by ``order_id`` alone, with the set of their years; lines and
+returns are joined to that in the partitioning their own aggregation produced, and
+years are unfolded after the joins, so orders are exchanged once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import MONEY_SCALE, minor_units, ratio
+from dailycast.functions.numeric import amount_units, ratio, units_total
 from dailycast.operators.attach import attach_row
 from dailycast.operators.growth import row_growth
 from dailycast.sources.tables import Facts
@@ -70,59 +71,80 @@ def order_counts(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def order_years(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct (order, year) pairs; orders without a date belong to no year."""
+def order_sets(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per order with the distinct (keys, year) it belongs to.
+
+    An order repeats at most once per series and year. Orders without an id or a date
+    belong to no year.
+    """
     return (
         with_order_year(orders)
         .filter(F.col("year").isNotNull() & F.col("order_id").isNotNull())
-        .select(*keys, "order_id", "year")
-        .distinct()
+        .groupBy("order_id")
+        .agg(F.collect_set(F.struct(*keys, "year")).alias("_when"))
+    )
+
+
+def _unfold(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    when = F.col("_when")
+    rest = [c for c in df.columns if c != "_when"]
+    return df.select(*rest, F.explode(when).alias("_when")).select(
+        *rest, *[F.col(f"_when.{c}").alias(c) for c in (*keys, "year")]
     )
 
 
-def item_totals(items: DataFrame, scale: int = MONEY_SCALE) -> DataFrame:
-    """Value and discount of every order, in minor units."""
+def order_years(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct (order, year) pairs."""
+    return _unfold(order_sets(orders, keys), keys).select(*keys, "order_id", "year")
+
+
+def item_totals(items: DataFrame) -> DataFrame:
+    """Value and discount of every order, in units."""
     return items.groupBy("order_id").agg(
-        F.coalesce(
-            F.sum(minor_units(F.col("quantity") * F.col("unit_price"), scale)), F.lit(0)
-        ).alias("value_units"),
-        F.coalesce(F.sum(minor_units("discount_amount", scale)), F.lit(0)).alias(
-            "discount_units"
+        F.coalesce(F.sum(amount_units(F.col("quantity") * F.col("unit_price"))), F.lit(0)).alias(
+            "value_units"
         ),
+        F.coalesce(F.sum(amount_units("discount_amount")), F.lit(0)).alias("discount_units"),
     )
 
 
-def order_values(
-    orders: DataFrame, items: DataFrame, keys: Sequence[str] = (), scale: int = MONEY_SCALE
+def order_facts(
+    orders: DataFrame,
+    items: DataFrame | None = None,
+    returns: DataFrame | None = None,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Line value and discount by order year; unmatched lines fall away."""
-    unit = F.lit(float(10**scale))
-    return (
-        item_totals(items, scale)
-        .join(order_years(orders, keys), "order_id")
-        .groupBy(*keys, "year")
-        .agg(
-            (F.sum("value_units").cast("double") / unit).alias("total_value"),
-            (F.sum("discount_units").cast("double") / unit).alias("total_discount"),
-        )
-    )
+    """Line value, discount and returned orders by order year, from one exchange of orders.
+
+    Years none of whose orders has a line, or a return, have NULL there; lines and returns
+    of unknown orders fall away.
+    """
+    df = order_sets(orders, keys)
+    sums = []
+    if items is not None:
+        df = df.join(item_totals(items), "order_id", "left")
+        sums += [
+            F.expr(f"if(count(value_units) > 0, {units_total(u)}, null)").alias(name)
+            for u, name in (("value_units", "total_value"), ("discount_units", "total_discount"))
+        ]
+    if returns is not None:
+        back = returns.select("order_id").distinct().withColumn("_returned", F.lit(1))
+        df = df.join(back, "order_id", "left")
+        sums.append(F.expr("nullif(count(_returned), 0)").alias("annual_returned_orders"))
+    return _unfold(df, keys).groupBy(*keys, "year").agg(*sums)
+
+
+def order_values(orders: DataFrame, items: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Line value and discount by order year, of the years that have lines."""
+    return order_facts(orders, items, keys=keys).filter(F.col("total_value").isNotNull())
 
 
 def returned_orders(
     orders: DataFrame, returns: DataFrame, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Distinct returned orders by order year.
-
-    Both sides are distinct on ``order_id`` within a year before the join, so
-    counting rows counts orders.
-    """
-    return (
-        returns.select("order_id")
-        .distinct()
-        .join(order_years(orders, keys), "order_id")
-        .groupBy(*keys, "year")
-        .agg(F.count(F.lit(1)).alias("annual_returned_orders"))
-    )
+    """Distinct returned orders by order year, of the years that have some."""
+    facts = order_facts(orders, returns=returns, keys=keys)
+    return facts.filter(F.col("annual_returned_orders").isNotNull())
 
 
 def value_ratios(values: DataFrame, counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -164,17 +186,17 @@ def annual_metrics(facts: Facts, keys: Sequence[str] = ()) -> DataFrame | None:
     if facts.orders is not None:
         counts = order_counts(facts.orders, keys)
         out = counts
+        if facts.order_items is not None or facts.returns is not None:
+            out = out.join(order_facts(facts.orders, facts.order_items, facts.returns, keys), on, "left")
         if facts.order_items is not None:
-            values = order_values(facts.orders, facts.order_items, keys)
-            out = out.join(values, on, "left").withColumns(
+            out = out.withColumns(
                 {
                     "annual_aov": ratio("total_value", "annual_total_orders"),
                     "annual_discount_intensity": ratio("total_discount", "total_value"),
                 }
             )
         if facts.returns is not None:
-            back = returned_orders(facts.orders, facts.returns, keys)
-            out = out.join(back, on, "left").withColumn(
+            out = out.withColumn(
                 "annual_return_rate", ratio("annual_returned_orders", "annual_total_orders")
             )
         out = out.selectExpr(

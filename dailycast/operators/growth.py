@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import MONEY_SCALE, money_sum, ratio
+from dailycast.functions.numeric import money_sum, ratio
 from dailycast.operators.attach import attach_row, attach_stats
 
 ROLLING_YEARS = 3
@@ -41,19 +41,15 @@ def rolling_mean(x: str, keys: Sequence[str] = (), rows: int = ROLLING_YEARS) ->
     return F.expr(f"avg({finite}) over ({_by_year(keys)} {frame})")
 
 
-def annual_totals(
-    sales: DataFrame, keys: Sequence[str] = (), scale: int | None = MONEY_SCALE
-) -> DataFrame:
+def annual_totals(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sales.groupBy(*keys, F.year("date").alias("year")).agg(
-        money_sum("revenue", scale).alias("revenue"), money_sum("cogs", scale).alias("cogs")
+        money_sum("revenue").alias("revenue"), money_sum("cogs").alias("cogs")
     )
 
 
-def yoy_growth(
-    sales: DataFrame, keys: Sequence[str] = (), scale: int | None = MONEY_SCALE
-) -> DataFrame:
+def yoy_growth(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Year, totals, row-to-row growth and its three-row mean."""
-    totals = annual_totals(sales, keys, scale)
+    totals = annual_totals(sales, keys)
     single = totals.withColumns(
         {
             "hist_yoy_revenue_growth": row_growth("revenue", keys),

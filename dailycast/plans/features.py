@@ -15,7 +15,6 @@ from dailycast.functions.calendar import (
     trend_parts,
     with_calendar,
 )
-from dailycast.functions.numeric import MONEY_SCALE
 from dailycast.operators import annual, growth, impute, lags, seasonal
 from dailycast.operators.attach import attach_row, attach_stats
 from dailycast.sources.staging import run_together, stage
@@ -97,7 +96,6 @@ def build_features(
     facts: Facts | None = None,
     keys: Sequence[str] = (),
     base_year: int = BASE_YEAR,
-    scale: int | None = MONEY_SCALE,
     staged: bool = True,
     stage_inputs: bool = True,
 ) -> FeatureSet:
@@ -134,8 +132,8 @@ def build_features(
 
     start = seasonal.bounds(sales, keys).select(*keys, "train_start")
     full = add_calendar(rows, start, keys, base_year)
-    full = seasonal.attach_seasonal(full, sales, keys, scale)
-    full = growth.attach_growth(full, growth.yoy_growth(sales, keys, scale), "known", keys)
+    full = seasonal.attach_seasonal(full, sales, keys)
+    full = growth.attach_growth(full, growth.yoy_growth(sales, keys), "known", keys)
     if metrics is not None:
         years = full.filter("not known").select(*keys, "year").distinct()
         metrics = annual.extrapolate(metrics, years, keys)

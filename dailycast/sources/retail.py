@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import MONEY_SCALE, minor_units
+from dailycast.functions.numeric import amount_units, units_total
 from dailycast.sources.tables import Facts
 
 
@@ -57,7 +57,7 @@ def facts(spark: SparkSession, root: str) -> Facts:
 
 
 def order_totals(spark: SparkSession, root: str) -> DataFrame:
-    """Revenue and cost of every order, in minor units.
+    """Revenue and cost of every order, in units.
 
     Lines are combined per order before the shuffle, so an order holding a
     large share of all lines reaches the exchange as one row per map task, and
@@ -69,7 +69,7 @@ def order_totals(spark: SparkSession, root: str) -> DataFrame:
         "l_orderkey",
         "l_partkey",
         "l_quantity",
-        minor_units(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("rev"),
+        amount_units(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("rev"),
     )
     prices = table(spark, root, "part").select("p_partkey", "p_retailprice")
     return (
@@ -77,7 +77,7 @@ def order_totals(spark: SparkSession, root: str) -> DataFrame:
         .select(
             "l_orderkey",
             "rev",
-            minor_units(F.col("l_quantity") * F.col("p_retailprice")).alias("cost"),
+            amount_units(F.col("l_quantity") * F.col("p_retailprice")).alias("cost"),
         )
         .groupBy("l_orderkey")
         .agg(F.sum("rev").alias("rev"), F.sum("cost").alias("cost"))
@@ -103,13 +103,12 @@ def daily_sales(
             "c_custkey", *[F.col(col).alias(name) for name, col in dims.items()]
         )
         header = header.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    unit = F.lit(float(10**MONEY_SCALE))
     return (
         order_totals(spark, root)
         .join(header, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(*keys, "date")
         .agg(
-            (F.sum("rev").cast("double") / unit).alias("revenue"),
-            (F.sum("cost").cast("double") / unit).alias("cogs"),
+            F.expr(units_total("rev")).alias("revenue"),
+            F.expr(units_total("cost")).alias("cogs"),
         )
     )

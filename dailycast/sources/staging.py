@@ -6,7 +6,6 @@ real sizes, so that later joins are planned from statistics.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -16,23 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder of this application below the one that ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session without that setting gets a temporary folder;
-    on a cluster a machine-local path would be lost with its machine.
+    A folder given by ``setCheckpointDir`` does as well. Every machine must see it: a plain
+    path without a scheme is taken to be on the default file system. Without a folder this
+    fails, since none that is local to a machine would do.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="dailycast-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = root or sc.getCheckpointDir()
+    if not root:
+        raise ValueError(
+            "set spark.checkpoint.dir when the session is built, or call setCheckpointDir, "
+            "with a folder that all executors share"
+        )
+    return f"{root.rstrip('/')}/dailycast/{sc.applicationId}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Remove what this application has staged; tables read from there are gone as well."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/dailycast/{name}-{uuid.uuid4().hex}"
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:

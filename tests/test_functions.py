@@ -60,6 +60,13 @@ def test_money_sum_is_exact_and_zero_when_empty(spark):
     assert got == {"a": (1.0, 0.1), "b": (0.0, None)}
 
 
+def test_small_large_and_infinite_amounts(spark):
+    rows = [("a", 0.004)] * 1000 + [("b", 9e9)] * 300 + [("c", NAN), ("c", INF), ("c", 10.0)]
+    df = spark.createDataFrame(rows, "k string, x double").groupBy("k")
+    got = {r[0]: r[1:] for r in df.agg(numeric.money_sum("x"), numeric.money_mean("x")).collect()}
+    assert got == {"a": (4.0, 0.004), "b": (2.7e12, 9e9), "c": (10.0, 10.0)}
+
+
 def test_unlog_clips_and_floors(spark):
     got = values(spark, [(0.0,), (-5.0,), (25.0,), (None,)], "x double", numeric.unlog("x"))
     assert got[:2] == [0.0, 0.0]

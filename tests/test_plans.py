@@ -118,8 +118,8 @@ def test_hot_part_is_split_and_totals_stay_whole(spark, uneven):
     t = lambda n: f"'{uneven}/{n}.parquet/*.parquet'"
     want = duckdb.sql(
         f"""select cast(o_orderdate as date)::varchar,
-                   sum(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5)::bigint) / 1e2,
-                   sum(floor(l_quantity * p_retailprice * 100 + 0.5)::bigint) / 1e2
+                   sum(floor(l_extendedprice * (1 - l_discount) * 1e8 + 0.5)::bigint)::double / 1e8,
+                   sum(floor(l_quantity * p_retailprice * 1e8 + 0.5)::bigint)::double / 1e8
             from {t("lineitem")} join {t("orders")} on l_orderkey = o_orderkey
                  join {t("part")} on l_partkey = p_partkey group by 1"""
     ).fetchall()

@@ -1,5 +1,8 @@
 """Readers, header rules, leak guard, target check, sinks and staging."""
 
+import os
+import subprocess
+import sys
 import datetime as dt
 
 import pytest
@@ -69,3 +72,34 @@ def test_stage_reads_back_the_same_rows(spark):
     a, b = run_together(spark, [lambda: stage(df, "t1"), lambda: stage(df, "t2", 1)])
     assert a.dtypes == df.dtypes and sorted(a.collect()) == sorted(b.collect()) == df.collect()
     assert stage_path(spark, "x") != stage_path(spark, "x")
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+NO_FOLDER = """
+from pyspark.sql import SparkSession
+from dailycast.sources import staging
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+try:
+    staging.stage(spark.range(3), "x")
+    print("NOT REFUSED")
+except ValueError as e:
+    print("REFUSED", e)
+spark.sparkContext.setCheckpointDir(FOLDER)
+print("ROWS", staging.stage(spark.range(3), "x").count())
+staging.clear_staging(spark)
+"""
+
+
+def test_staging_without_the_setting(tmp_path):
+    """A session without a folder is refused; one given later is used, and cleared."""
+    (tmp_path / "conf").mkdir()
+    done = subprocess.run(
+        [sys.executable, "-c", f"FOLDER = {str(tmp_path / 'shared')!r}\n{NO_FOLDER}"],
+        env=os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": ROOT},
+        cwd=tmp_path,
+        capture_output=True,
+        text=True,
+        timeout=200,
+    )
+    assert "REFUSED set spark.checkpoint.dir" in done.stdout and "ROWS 3" in done.stdout, done.stderr
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
