@@ -1,13 +1,16 @@
 """Fitted models over the daily features.
 
 Most fits are not expressible in SQL, so these queries have no SQL check; closed
-forms, additivity and planted signals are tested instead. They run the full
-steps with few trees; ``ForecastConfig()`` and ``ImportanceConfig()`` hold the
-full-size settings.
+forms, additivity and planted signals are tested instead. Forests fitted on the
+whole history and all meta-learners run at full size; boosted models and whole runs
+take the full steps with few trees. ``ForecastConfig()`` and ``ImportanceConfig()``
+hold the full-size settings.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from dailycast.catalog.features import feature_set
@@ -21,7 +24,9 @@ from dailycast.sources import sinks
 from dailycast.sources.staging import stage, stage_path
 from dailycast.sources.tables import attach_target
 
-CONFIG = fc.small_config()
+FULL = fc.ForecastConfig()
+CONFIG = replace(fc.small_config(), meta_rounds=FULL.meta_rounds)
+FULL_IMPORTANCE = imp.ImportanceConfig()
 IMPORTANCE = imp.small_config()
 
 
@@ -45,7 +50,7 @@ def horizon_predictions(m, model):
 
 @query("ml_random_forest")
 def ml_random_forest(spark, root):
-    return horizon_predictions(*fitted(spark, root, CONFIG.forest))
+    return horizon_predictions(*fitted(spark, root, FULL.forest))
 
 
 @query("ml_gbt_deep")
@@ -161,7 +166,7 @@ def stack_weights(spark, root):
     """Weights of every linear meta-learner side by side."""
     rows = base_matrix(spark, root)
     out = None
-    for name in ("ridge", "lasso", "elasticnet", "bayesian_ridge"):
+    for name in ("huber", "ridge", "lasso", "elasticnet", "bayesian_ridge"):
         part = stack.stack_weights(
             stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec(name)), spark
         )
@@ -241,7 +246,7 @@ def snk_forecast(spark, root):
 
 @query("imp_rf")
 def imp_rf(spark, root):
-    m, model = fitted(spark, root, IMPORTANCE.forest)
+    m, model = fitted(spark, root, FULL_IMPORTANCE.forest)
     return trees.impurity_importance(spark, model, m.columns)
 
 
@@ -263,7 +268,7 @@ def imp_target_average(spark, root):
     m = matrix(spark, root)
     out = None
     for target in ("revenue", "cogs"):
-        model = trees.fit(m.train, f"log_{target}", IMPORTANCE.forest)
+        model = trees.fit(m.train, f"log_{target}", FULL_IMPORTANCE.forest)
         part = trees.impurity_importance(spark, model, m.columns).select(
             F.lit("rf").alias("source"), "feature", F.lit(target).alias("target"), "score"
         )
