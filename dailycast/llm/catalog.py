@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from dailycast.llm import (
     best_fit,
+    bpe_stream,
     decontaminate,
     line_runs,
+    part_codes,
     passage_quality,
     pivot_simhash,
     preference_chat,
     projection_forest,
     suffix_lm,
+    token_alignment,
     token_counts,
     toxic_segments,
 )
@@ -211,3 +214,74 @@ def op8_preference_chat(spark, root):
     return pairs.withColumn("chosen_mask", shown_spans("chosen_mask")).withColumn(
         "rejected_mask", shown_spans("rejected_mask")
     )
+
+
+def lloyd_sql(rounds: int = part_codes.ROUNDS) -> str:
+    """Rounds of assigning and moving written one after the other, over all rows."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+    near{k} as (
+        select rid, p, any_value(part) as part, min(far * 16 + k) as best
+        from (select m.rid, m.p, m.part, b.k, list_sum(list_transform(
+                         list_zip(m.part, b.entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as far
+              from members m join book{k} b on m.p = b.p) group by rid, p)""")
+        if k < rounds:
+            steps.append(f"""
+    mean{k} as (
+        select p, k, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as entry
+        from (select p, best % 16 as k, i, sum(part[i])::bigint as s, count(*) as n
+              from near{k}, unnest(range(1, len(part) + 1)) t(i) group by all) group by p, k),
+    book{k + 1} as (
+        select b.p, b.k, coalesce(m.entry, b.entry) as entry from book{k} b left join mean{k} m on b.p = m.p and b.k = m.k)""")
+    return f"""
+    with kept as (
+        select row_number() over () as rid, vec_id, label,
+               list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v
+        from embeddings where embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    members as (
+        select rid, vec_id, v, p, list_slice(v, p * len(v) // 8 + 1, (p + 1) * len(v) // 8) as part
+        from kept, unnest(range(8)) t(p)),
+    book0 as (
+        select p, k, part as entry from (
+            select p, part, row_number() over (partition by p order by vec_id nulls last, v) - 1 as k from members) where k < 16),
+    {",".join(steps)},
+    coded as (
+        select rid, string_agg(printf('%02x', best % 16), '' order by p) as code, sum(best // 16)::bigint as error
+        from near{rounds} group by rid)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+           (select sha256(string_agg(x::varchar, ',' order by p, k, i))
+            from (select p, k, i, entry[i] as x from book{rounds}, unnest(range(1, len(entry) + 1)) t(i))) as codebooks_sha256
+    from coded join kept using (rid)"""
+
+
+@query("op11_vector_codes", lloyd_sql())
+def op11_vector_codes(spark, root):
+    coded, codebooks = part_codes.compress(table(spark, root, "embeddings"))
+    return coded.select(
+        "vec_id",
+        F.array_join(F.transform("code.entries", lambda k: F.lpad(F.lower(F.hex(k)), 2, "0")), "").alias("code"),
+        F.col("code.error").alias("error"),
+        F.col("code.label_error").alias("label_error"),
+        F.lit(part_codes.codebooks_sha256(codebooks)).alias("codebooks_sha256"),
+    )
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, root):
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.aligned(docs, *paths).select("doc_id", "alignment.*")
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark, root):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, root, "documents").select("doc_id", bpe_stream.encoded(F.col("text"), path).alias("ids"))
+    return docs.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe_stream.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )

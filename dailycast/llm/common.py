@@ -22,3 +22,15 @@ def batch_texts(column) -> list:
     import pyarrow as pa
 
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+_WORKER: dict = {}
+
+
+def held(key: tuple, make):
+    """What a Python worker keeps from task to task; things of another first key part are let go."""
+    if key not in _WORKER:
+        for other in [k for k in _WORKER if k[0] != key[0]]:
+            del _WORKER[other]
+        _WORKER[key] = make()
+    return _WORKER[key]
