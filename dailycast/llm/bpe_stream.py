@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dailycast.llm.common import batch_texts, held
+from dailycast.llm.common import held, slices
 
 #: Letters a transducer takes beyond the lookahead before it settles some.
 BLOCK = 512
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-CACHE_SIZE, WORD_BYTES = 400_000, 48
+CACHE_SIZE, WORD_BYTES = 300_000, 48
 #: Bytes of text looked up together, and ids decoded in one step.
 HELD, DECODED = 1 << 20, 65_536
 
@@ -323,6 +323,12 @@ class TextMachine:
         self.first = True
         return rest
 
+    def text(self, raw: bytes) -> str:
+        """A whole row of little-endian ids, a block at a time."""
+        ids = np.frombuffer(raw, "<u4")
+        blocks = [self.feed(ids[i : i + DECODED].tolist()) for i in range(0, len(ids), DECODED)]
+        return "".join([*blocks, self.close()])
+
 
 def encoded(text: Column, tokenizer_path: str) -> Column:
     """The ids of each whole text as little-endian unsigned 32-bit numbers, a binary column.
@@ -333,15 +339,7 @@ def encoded(text: Column, tokenizer_path: str) -> Column:
     are not looked at. The file must be at ``tokenizer_path`` on every machine; one whose
     merge list has no sufficient lookahead, or that keeps white space, is a ValueError.
     """
-    Spec(tokenizer_path)
-    query = uuid.uuid4().hex
-
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = held((query, "encode"), lambda: WordIds(tokenizer_path))
-        for batch in batches:
-            yield pa.array(words.encode(batch_texts(batch)), pa.binary())
-
-    return F.arrow_udf(encode, "binary")(text)
+    return _transcoded(text, tokenizer_path, ("ids",))["ids"]
 
 
 def decoded(ids: Column, tokenizer_path: str) -> Column:
@@ -354,13 +352,34 @@ def decoded(ids: Column, tokenizer_path: str) -> Column:
     query = uuid.uuid4().hex
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machine = TextMachine(held((query, "decode"), lambda: Spec(tokenizer_path).strings))
-        for batch in batches:
-            out = []
-            for raw in batch.to_pylist():
-                row = np.frombuffer(raw or b"", "<u4")
-                parts = [machine.feed(row[i : i + DECODED].tolist()) for i in range(0, len(row), DECODED)]
-                out.append("".join([*parts, machine.close()]))
-            yield pa.array(out, pa.string())
+        machine = TextMachine(held((query,), lambda: Spec(tokenizer_path).strings))
+        for rows in slices(batches):
+            yield pa.array([machine.text(raw or b"") for raw in rows], pa.string())
 
     return F.arrow_udf(decode, "string")(ids)
+
+
+def round_trip(text: Column, tokenizer_path: str) -> Column:
+    """A struct of ``ids``, as ``encoded`` gives them, and ``text``, what ``decoded`` makes of those.
+
+    One worker does both, so that ids do not travel between two.
+    """
+    return _transcoded(text, tokenizer_path, ("ids", "text"))
+
+
+def _transcoded(text: Column, tokenizer_path: str, fields: tuple) -> Column:
+    Spec(tokenizer_path)
+    query = uuid.uuid4().hex
+    kinds = {"ids": pa.binary(), "text": pa.string()}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = held((query,), lambda: WordIds(tokenizer_path))
+        machine = TextMachine(words.spec.strings)
+        for texts in slices(batches):
+            ids = words.encode([(t or "").encode() for t in texts])
+            columns = [ids] if fields == ("ids",) else [ids, [machine.text(raw) for raw in ids]]
+            arrays = [pa.array(c, kinds[f]) for c, f in zip(columns, fields)]
+            yield pa.StructArray.from_arrays(arrays, names=list(fields))
+
+    schema = ",".join(f"{f}:{'binary' if f == 'ids' else 'string'}" for f in fields)
+    return F.arrow_udf(run, f"struct<{schema}>")(text)

@@ -278,10 +278,10 @@ def op12_token_alignment(spark, root):
 @query("op13_bpe_codec")
 def op13_bpe_codec(spark, root):
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = table(spark, root, "documents").select("doc_id", bpe_stream.encoded(F.col("text"), path).alias("ids"))
+    docs = table(spark, root, "documents").select("doc_id", bpe_stream.round_trip(F.col("text"), path).alias("codec"))
     return docs.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe_stream.decoded(F.col("ids"), path), 256).alias("decoded_sha256"),
+        (F.octet_length("codec.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("codec.ids", 256).alias("ids_sha256"),
+        F.sha2("codec.text", 256).alias("decoded_sha256"),
     )

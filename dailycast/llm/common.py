@@ -24,6 +24,13 @@ def batch_texts(column) -> list:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(columns, rows: int = 256):
+    """The values of Arrow columns, a few rows at a time: only these are Python objects at once."""
+    for column in columns:
+        for i in range(0, len(column), rows):
+            yield column.slice(i, rows).to_pylist()
+
+
 _WORKER: dict = {}
 
 

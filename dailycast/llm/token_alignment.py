@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dailycast.llm.bpe_stream import byte_letters
-from dailycast.llm.common import held, spare_name
+from dailycast.llm.bpe_stream import Rules, byte_letters
+from dailycast.llm.common import held, slices, spare_name
 from dailycast.sources.staging import stage
 
 #: Pieces, and links of pieces, that a worker remembers; characters aligned in one step.
@@ -33,6 +33,8 @@ TABLE_SIZE = 500_000
 
 #: A blank before which both tokenizers always break.
 _BREAK = re.compile(r"(?<! ) (?=\S)")
+#: A blank and letters, which byte-level pre-tokenizing takes as one, and a mark of its own.
+_PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,99}([.,;:!?])?")
 
 
 class Aligner:
@@ -52,10 +54,14 @@ class Aligner:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        byte = {c: k for k, c in enumerate(byte_letters())}
+        shown, vocab = byte_letters(), spec["model"]["vocab"]
+        byte = {c: k for k, c in enumerate(shown)}
         self.bytes_a = [b""] * self.a.get_vocab_size()
-        for token, k in spec["model"]["vocab"].items():
+        for token, k in vocab.items():
             self.bytes_a[k] = bytes(map(byte.__getitem__, token)) if all(c in byte for c in token) else token.encode()
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.rules = Rules([(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], {k: len(t) for t, k in vocab.items()})
+        self.letters = np.array([vocab[c] for c in shown], np.int64)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second tokenizer has pieces that go on behind a blank")
@@ -67,37 +73,43 @@ class Aligner:
             if raw not in ids or self.b.is_byte(ids[raw]):
                 ids[raw] = k
         self.same = np.array([ids.get(raw, -1) for raw in self.bytes_a], np.int64)
-        self.shown = [str(k) for k in range(max(len(self.bytes_a), len(self.bytes_b)))]
-
-    def tokens(self, pieces: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Both tokenizers' ids of pieces that begin with a blank."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return list(zip(a, b))
-
-    def whole(self, piece: str, a: list[int], b: list[int]) -> bool:
-        raw = piece.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[list[int], list[int], list[tuple[int, int]]]]:
-        """Ids between two common ends, with their links: the pairs whose bytes overlap."""
-        size_a, size_b = self.bytes_a, self.bytes_b
-        i = j = first_a = first_b = end_a = end_b = 0
-        links: list[tuple[int, int]] = []
-        if a:
-            end_a, end_b = len(size_a[a[0]]), len(size_b[b[0]])
-        while i < len(a):
-            links.append((a[i], b[j]))
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                yield a[first_a : i + 1], b[first_b : j + 1], links
-                first_a, first_b, links = i + 1, j + 1, []
-            if step_a:
-                i += 1
-                end_a += len(size_a[a[i]]) if i < len(a) else 0
-            if step_b:
-                j += 1
-                end_b += len(size_b[b[j]]) if j < len(b) else 0
+        self.size_a, self.size_b = (np.array([len(x) for x in raw]) for raw in (self.bytes_a, self.bytes_b))
+
+    def encode_a(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and how many each has; plain pieces come first in ``raw``.
+
+        The words of plain ones are merged together, by the same merge list as the library's.
+        """
+        parts, per_piece = [], []
+        for k, x in enumerate(raw):
+            plain = _PLAIN.fullmatch(x)
+            if not plain:
+                break
+            parts += [x[:-1], plain[1]] if plain[1] else [x]
+            per_piece.append(2 if plain[1] else 1)
+        rest = [x.decode() for x in raw[len(per_piece) :]]
+        got = [e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        ids, n = np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
+        if parts:
+            letters = self.letters[np.frombuffer(b"".join(parts), np.uint8)]
+            merged, sizes = self.rules.merge_many(letters, np.array([len(x) for x in parts]))
+            ends = np.cumsum(sizes)[np.cumsum(per_piece) - 1]
+            ids, n = np.concatenate([merged, ids]), np.concatenate([np.diff(ends, prepend=0), n])
+        return ids, n
+
+    def encode_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.b.encode([p[1:] for p in pieces], num_threads=1)
+        return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
+
+    def whole(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Which pieces both tokenizers give back byte for byte."""
+        out = np.ones(len(raw), bool)
+        for ids, n, table, size in ((a, n_a, self.bytes_a, self.size_a), (b, n_b, self.bytes_b, self.size_b)):
+            told = b"".join(map(table.__getitem__, ids.tolist()))
+            ends = np.append(0, np.cumsum(size[ids]))[np.cumsum(n)].tolist()
+            if told != b"".join(raw) or ends != np.cumsum([len(x) for x in raw]).tolist():
+                out &= [told[i:j] == x for i, j, x in zip([0, *ends], ends, raw)]
+        return out
 
 
 class Book:
@@ -124,24 +136,43 @@ class Book:
     def full(self) -> bool:
         return len(self.texts) > CACHE_SIZE or len(self.same) + len(self.odd) > CACHE_LINKS
 
-    def learn(self, pieces: list[str]) -> None:
-        shown, same = self.aligner.shown, self.aligner.same
-        for piece, (a, b) in zip(pieces, self.aligner.tokens(pieces)):
-            k = self.number[piece] = len(self.texts)
-            fine = self.aligner.whole(piece, a, b)
-            texts, n_links = [], 0
-            for ga, gb, links in self.aligner.groups(a, b) if fine else ():
-                texts.append(",".join(map(shown.__getitem__, ga)) + "|" + ",".join(map(shown.__getitem__, gb)))
-                n_links += len(links)
-                if len(links) == 1 and same[ga[0]] == gb[0]:
-                    self.same.append(ga[0])
-                    self.same_of.append(k)
-                else:
-                    self.odd.extend([x << 32 | y for x, y in links])
-                    self.odd_of.extend([k] * len(links))
-            self.texts.append(";".join(texts).encode())
-            self.fine.append(fine)
-            self.sums.extend((len(a), len(b), len(texts), n_links) if fine else (0, 0, 0, 0))
+    def learn(self, pieces: set[str]) -> None:
+        """Align new pieces, all at once: a link ends wherever a token of either side does."""
+        if not pieces:
+            return
+        with_raw = [(p, p.encode()) for p in pieces]
+        with_raw.sort(key=lambda x: _PLAIN.fullmatch(x[1]) is None)
+        pieces, raw = zip(*with_raw)
+        aligner, first = self.aligner, len(self.texts)
+        (a, n_a), (b, n_b) = aligner.encode_a(raw), aligner.encode_b(pieces)
+        fine = aligner.whole(raw, a, n_a, b, n_b)
+        of_a, of_b = np.repeat(np.arange(len(raw)), n_a), np.repeat(np.arange(len(raw)), n_b)
+        a, of_a, b = a[fine[of_a]], of_a[fine[of_a]], b[fine[of_b]]
+        end_a, end_b = np.cumsum(aligner.size_a[a]), np.cumsum(aligner.size_b[b])
+        ends = np.union1d(end_a, end_b)
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        link_a, link_b, piece = a[at_a], b[at_b], of_a[at_a]
+        last = (end_a[at_a] == ends) & (end_b[at_b] == ends)  # of a group
+        group = np.cumsum(last) - last
+        links = np.bincount(group, minlength=int(last.sum()))
+        straight = (links[group] == 1) & (aligner.same[link_a] == link_b)
+        self.same.frombytes(link_a[straight].tobytes())
+        self.same_of.frombytes((piece[straight] + first).tobytes())
+        self.odd.frombytes((link_a[~straight] << 32 | link_b[~straight]).tobytes())
+        self.odd_of.frombytes((piece[~straight] + first).tobytes())
+
+        texts = [f"{x}|{y}" for x, y in zip(link_a[last].tolist(), link_b[last].tolist())]
+        common = ends[last]
+        to_a, to_b = (np.append(0, np.searchsorted(e, common) + 1) for e in (end_a, end_b))
+        for g in np.flatnonzero(links > 1).tolist():
+            texts[g] = "|".join(",".join(map(str, ids[to[g] : to[g + 1]].tolist())) for ids, to in ((a, to_a), (b, to_b)))
+        n_groups = np.bincount(piece[last], minlength=len(raw))
+        at = np.append(0, np.cumsum(n_groups)).tolist()
+        self.texts += [";".join(texts[i:j]).encode() for i, j in zip(at, at[1:])]
+        self.fine += fine.tobytes()
+        numbers = (n_a * fine, n_b * fine, n_groups, np.bincount(piece, minlength=len(raw)))
+        self.sums.frombytes(np.column_stack(numbers).astype(np.int64).tobytes())
+        self.number.update(zip(pieces, range(first, first + len(raw))))
 
     def read(self, texts: list) -> Iterator[list]:
         """Blocks of texts as piece numbers in order; None for a text that has no tokens.
@@ -156,7 +187,7 @@ class Book:
             if size < HELD and at < len(texts) - 1:
                 continue
             new = set().union(*filter(None, block)).difference(self.number)
-            self.learn(list(new))
+            self.learn(new)
             rows = [None if p is None else np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in block]
             fine = np.frombuffer(bytes(self.fine), np.bool_)
             yield [r if r is not None and fine[r].all() else None for r in rows]
@@ -251,8 +282,8 @@ def pair_counts(texts: DataFrame, path_a: str, path_b: str) -> tuple[np.ndarray,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = held(books, lambda: Book(Aligner(path_a, path_b)))
         seen = np.zeros(len(book.texts), np.int64)
-        for batch in batches:
-            for rows in book.read(batch.column(0).to_pylist()):
+        for texts in slices(batch.column(0) for batch in batches):
+            for rows in book.read(texts):
                 met = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
                 seen = np.bincount(met, minlength=len(book.texts)) + np.pad(seen, (0, len(book.texts) - len(seen)))
                 if book.full():
@@ -331,8 +362,8 @@ def aligned(
         book = held(books, lambda: Book(Aligner(path_a, path_b)))
         if book.query != query:
             book.query, book.scores = query, Scores(shared.value)
-        for batch in batches:
-            found = _score(book, book.scores, batch.to_pylist())
+        for texts in slices(batches):
+            found = _score(book, book.scores, texts)
             if book.full():
                 book.clear()
             yield pa.array(found, _RESULT)
