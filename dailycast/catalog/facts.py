@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, msum, with_ctes
-from dailycast.functions.numeric import STEPS
+from dailycast.functions.numeric import parts_value
 from dailycast.operators import annual, growth
 from dailycast.operators.attach import salted_left_join
 from dailycast.sources import retail
@@ -28,7 +28,7 @@ def prj_fact_year(spark, root):
 def prj_line_value(spark, root):
     items = retail.order_items(spark, root)
     lines = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"))
-    value = (F.col("value_units") / float(STEPS)).alias("line_value")
+    value = F.expr(parts_value("value")).alias("line_value")
     return lines.join(annual.item_totals(items), "order_id").select("order_id", "lines", value)
 
 

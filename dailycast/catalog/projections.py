@@ -10,6 +10,7 @@ from dailycast.catalog.sql import with_ctes
 from dailycast.functions import calendar as cal
 from dailycast.functions import metrics
 from dailycast.functions import numeric as num
+from dailycast.operators import stack
 from dailycast.operators.attach import attach_row
 from dailycast.operators.lags import attach_lag
 from dailycast.sources import retail, sinks, tables
@@ -143,15 +144,7 @@ def prj_margin_cap(spark, root):
 )
 def prj_forecast_format(spark, root):
     daily = retail.daily_sales(spark, root)
-    return forecast_columns(daily, F.col("revenue") / 7, F.col("cogs") / 7)
-
-
-def forecast_columns(df, revenue, cogs):
-    return df.select(
-        F.date_format("date", "yyyy-MM-dd").alias("Date"),
-        F.bround(revenue, 2).alias("Revenue"),
-        F.bround(cogs, 2).alias("COGS"),
-    )
+    return stack.format_forecast(daily.select("date", F.col("revenue") / 7, F.col("cogs") / 7).toDF("date", "revenue", "cogs"))
 
 
 @query(

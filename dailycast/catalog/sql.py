@@ -6,8 +6,9 @@ SPLIT = "2000-01-01"
 
 
 def msum(x: str) -> str:
-    """Total of amounts in steps of 1e-8, the same in any order, as DOUBLE."""
-    return f"(coalesce(sum(cast(floor({x} * 1e8 + 0.5) as bigint)), 0)::hugeint::double / 1e8)"
+    """Total of amounts as DOUBLE: a sum of whole multiples of 2^-60, which the given amounts are, rounded once."""
+    total = f"coalesce(sum(({x} * 1152921504606846976.0::double)::hugeint), 0)::hugeint"
+    return f"((({total} // 1099511627776)::double * 1099511627776.0 + ({total} % 1099511627776)::double) / 1152921504606846976.0)"
 
 
 def mavg(x: str) -> str:

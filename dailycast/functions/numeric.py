@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 CLIP_LOG = 20.0
 MARGIN_CAP = 0.995
 
-# Amounts are added as whole steps of 1e-8, in two parts of at most nine low digits.
-STEPS = 100_000_000
-PART = 1_000_000_000
+# Amounts are added digit by digit: balanced digits of 26 bits, of which ``BELOW`` lie below the point.
+BITS, DIGITS, BELOW = 26, 8, 4
+BASE = 1 << BITS
+#: From here on amounts are added as plain doubles, beside the digits.
+HUGE = f"pow(2D, {BITS * BELOW - 1})"
 
 
 def _c(x: Column | str) -> Column:
@@ -47,39 +49,79 @@ def nan_to_null(x: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def amount_units(x: Column | str) -> Column:
-    """An amount as a BIGINT count of steps of 1e-8; NULL unless finite.
+def _digits(x: str) -> list[str]:
+    """SQL for the digits of an amount, lowest first, as BIGINT; NULL unless finite.
 
-    Amounts up to 9e10 fit. A double of that size has fewer digits, and of smaller ones
-    no more than the ninth decimal is lost.
+    Digit k counts 2^(26 (k - 4)). All steps are exact in doubles, so the digits of an amount from
+    2e-16 to 1e31 add up to it exactly; smaller ones are rounded to a multiple of 5e-32.
     """
-    return F.expr(_units(x)) if isinstance(x, str) else F.when(
-        is_finite(x), F.floor(x * F.lit(float(STEPS)) + F.lit(0.5))
-    )
+    fine = f"abs({x}) < {HUGE}"
+    step = lambda k: f"rint(({x}) * {2.0 ** (BITS * (BELOW - k))!r}D)"
+    return [f"if({fine}, cast({step(k)} - {BASE}D * {step(k + 1)} as bigint), null)" for k in range(DIGITS)]
+
+
+def _huge(x: str) -> str:
+    return f"coalesce(sum(if(abs({x}) >= {HUGE} and abs({x}) < double('inf'), {x}, null)), 0D)"
 
 
-def _units(x: str) -> str:
-    return f"if(abs({x}) < double('inf'), floor(({x}) * {STEPS}D + 0.5D), null)"
+def _value(digits: list[str], huge: str) -> str:
+    """SQL for the double that sums of digits make, whatever they have grown to.
+
+    Carries go up until each digit is balanced again; then the lowest come first into a double,
+    so that only the last addition rounds.
+    """
+    sums = ", ".join(f"cast({d} as decimal(38, 0))" for d in [*digits, "0", "0", "0"])
+    carry = f"cast(floor((t + a.c + {BASE // 2}) / {BASE}) as decimal(38, 0))"
+    step = f"named_struct('c', {carry}, 'v', a.v / {BASE}D + cast(t + a.c - {carry} * {BASE} as double))"
+    start = "named_struct('c', cast(0 as decimal(38, 0)), 'v', 0D)"
+    top = 2.0 ** (BITS * (DIGITS + 2 - BELOW))
+    return f"(aggregate(array({sums}), {start}, (a, t) -> {step}, a -> a.v * {top!r}D) + {huge})"
 
 
-def units_total(u: str) -> str:
-    """SQL for the exact sum of BIGINT units as an amount, 0 for none.
+def part_sums(x: str, name: str) -> list[Column]:
+    """Aggregates that hold the exact sum of an amount's finite values: ``name_0`` and so on.
 
-    High and low digits are summed apart, so the sum stays in BIGINT arithmetic, cannot
-    overflow at any size and does not depend on the order in which partitions arrive.
+    They can be added up again (``parts_total``), in any order and grouping, with the same result.
     """
-    high = f"cast(coalesce(sum(({u}) div {PART}), 0L) as decimal(20, 0)) * {PART}"
-    return f"(cast({high} + coalesce(sum(({u}) % {PART}), 0L) as double) / {STEPS}D)"
+    sums = [F.expr(f"coalesce(sum({d}), 0L)").alias(f"{name}_{k}") for k, d in enumerate(_digits(x))]
+    return [*sums, F.expr(_huge(x)).alias(f"{name}_huge")]
+
+
+def part_names(name: str) -> list[str]:
+    return [*(f"{name}_{k}" for k in range(DIGITS)), f"{name}_huge"]
+
+
+def parts_value(name: str) -> str:
+    """SQL for the amount that one row's parts make."""
+    *digits, huge = part_names(name)
+    return _value(digits, huge)
+
+
+def parts_total(name: str) -> str:
+    """SQL aggregate: the exact sum of rows of parts as an amount, 0 for none.
+
+    High and low halves are summed apart in BIGINT, so no number of rows overflows them.
+    """
+    *digits, huge = part_names(name)
+    half = 1 << 30
+    sums = [
+        f"cast(coalesce(sum({d} div {half}), 0L) as decimal(38, 0)) * {half} + coalesce(sum({d} % {half}), 0L)" for d in digits
+    ]
+    return _value(sums, f"coalesce(sum({huge}), 0D)")
+
+
+def _total(x: str) -> str:
+    return _value([f"coalesce(sum({d}), 0L)" for d in _digits(x)], _huge(x))
 
 
 def money_sum(x: str) -> Column:
-    """Exact sum of the finite values of the SQL expression ``x``; 0 if there are none."""
-    return F.expr(units_total(_units(x)))
+    """Sum of the finite values of the SQL expression ``x``, the same in any order; 0 if there are none."""
+    return F.expr(_total(x))
 
 
 def money_mean(x: str) -> Column:
     """Mean of the finite values of the SQL expression ``x``; NULL if there are none."""
-    return F.expr(f"try_divide({units_total(_units(x))}, count(if(abs({x}) < double('inf'), 1, null)))")
+    return F.expr(f"try_divide({_total(x)}, count(if(abs({x}) < double('inf'), 1, null)))")
 
 
 def log_target(x: Column | str) -> Column:
@@ -112,6 +154,11 @@ def cap_to_margin(
     return F.when(c.isNotNull() & r.isNotNull(), F.least(c, r * F.lit(cap)))
 
 
+def round_cents(x: Column | str) -> Column:
+    """Two decimals: hundredths rounded half to even in binary, as array libraries do."""
+    return F.rint(_c(x) * 100) / 100
+
+
 def row_mean(*cols: Column | str) -> Column:
     """Mean across columns of one row, skipping NULLs."""
     cs = [_c(c) for c in cols]

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import amount_units, ratio, units_total
+from dailycast.functions.numeric import part_sums, parts_total, ratio
 from dailycast.operators.attach import attach_row
 from dailycast.operators.growth import row_growth
 from dailycast.sources.tables import Facts
@@ -99,12 +99,9 @@ def order_years(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def item_totals(items: DataFrame) -> DataFrame:
-    """Value and discount of every order, in units."""
+    """Value and discount of every order, in exact parts."""
     return items.groupBy("order_id").agg(
-        F.coalesce(F.sum(amount_units(F.col("quantity") * F.col("unit_price"))), F.lit(0)).alias(
-            "value_units"
-        ),
-        F.coalesce(F.sum(amount_units("discount_amount")), F.lit(0)).alias("discount_units"),
+        F.lit(1).alias("_lines"), *part_sums("quantity * unit_price", "value"), *part_sums("discount_amount", "discount")
     )
 
 
@@ -124,8 +121,8 @@ def order_facts(
     if items is not None:
         df = df.join(item_totals(items), "order_id", "left")
         sums += [
-            F.expr(f"if(count(value_units) > 0, {units_total(u)}, null)").alias(name)
-            for u, name in (("value_units", "total_value"), ("discount_units", "total_discount"))
+            F.expr(f"if(count(_lines) > 0, {parts_total(part)}, null)").alias(name)
+            for part, name in (("value", "total_value"), ("discount", "total_discount"))
         ]
     if returns is not None:
         back = returns.select("order_id").distinct().withColumn("_returned", F.lit(1))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import mape, r2
-from dailycast.functions.numeric import cap_to_margin, clipped_expm1, floor_zero, log_target
+from dailycast.functions.numeric import cap_to_margin, clipped_expm1, floor_zero, log_target, round_cents
 from dailycast.operators.linear import META, MetaFit, MetaSpec, fit_meta, weight_rows
 from dailycast.operators.scoring import TARGETS
 from dailycast.sources.staging import run_together
@@ -68,12 +68,12 @@ def constrain(wide: DataFrame) -> DataFrame:
 
 
 def format_forecast(wide: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``Date, Revenue, COGS`` as text and amounts rounded half to even."""
+    """``Date, Revenue, COGS`` as text and amounts rounded to cents, halves to even."""
     return wide.select(
         *keys,
         F.date_format("date", "yyyy-MM-dd").alias("Date"),
-        F.bround("revenue", 2).alias("Revenue"),
-        F.bround("cogs", 2).alias("COGS"),
+        round_cents("revenue").alias("Revenue"),
+        round_cents("cogs").alias("COGS"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import amount_units, units_total
+from dailycast.functions.numeric import part_sums, parts_total
 from dailycast.sources.tables import Facts
 
 
@@ -57,7 +57,7 @@ def facts(spark: SparkSession, root: str) -> Facts:
 
 
 def order_totals(spark: SparkSession, root: str) -> DataFrame:
-    """Revenue and cost of every order, in units.
+    """Revenue and cost of every order, in exact parts.
 
     Lines are combined per order before the shuffle, so an order holding a
     large share of all lines reaches the exchange as one row per map task, and
@@ -66,21 +66,13 @@ def order_totals(spark: SparkSession, root: str) -> DataFrame:
     between a broadcast and a skew-aware sort-merge join.
     """
     lines = table(spark, root, "lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        "l_quantity",
-        amount_units(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("rev"),
+        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"
     )
     prices = table(spark, root, "part").select("p_partkey", "p_retailprice")
     return (
         lines.join(prices, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            "l_orderkey",
-            "rev",
-            amount_units(F.col("l_quantity") * F.col("p_retailprice")).alias("cost"),
-        )
         .groupBy("l_orderkey")
-        .agg(F.sum("rev").alias("rev"), F.sum("cost").alias("cost"))
+        .agg(*part_sums("l_extendedprice * (1D - l_discount)", "rev"), *part_sums("l_quantity * p_retailprice", "cost"))
     )
 
 
@@ -108,7 +100,7 @@ def daily_sales(
         .join(header, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(*keys, "date")
         .agg(
-            F.expr(units_total("rev")).alias("revenue"),
-            F.expr(units_total("cost")).alias("cogs"),
+            F.expr(parts_total("rev")).alias("revenue"),
+            F.expr(parts_total("cost")).alias("cogs"),
         )
     )

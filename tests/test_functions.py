@@ -1,7 +1,9 @@
 """Hand-computed edge cases of the column expressions and scores."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,42 @@ def test_small_large_and_infinite_amounts(spark):
     assert got == {"a": (4.0, 0.004), "b": (2.7e12, 9e9), "c": (10.0, 10.0)}
 
 
+def test_amounts_of_any_size_are_added_exactly(spark):
+    rows = [("a", 1e12), ("a", 3e12)] + [("b", 3e-9)] * 1000 + [("c", 1e30), ("c", 1.0), ("c", -1e30), ("d", 1e200), ("d", 2e200)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7).groupBy("k")
+    got = {r[0]: r[1:] for r in df.agg(numeric.money_sum("x"), numeric.money_mean("x")).collect()}
+    assert got["a"] == (4e12, 2e12) and got["b"] == (math.fsum([3e-9] * 1000), got["b"][0] / 1000)
+    assert got["c"][0] == 1.0 and got["d"] == (3e200, 1.5e200)
+
+
+def test_amounts_add_up_alike_in_any_grouping(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), rng.randrange(90), rng.uniform(-1, 1) * 10 ** rng.uniform(-14, 28)) for _ in range(3000)]
+    rows += [(4, i, rng.choice([-1, 1]) * rng.uniform(0, 1e5)) for i in range(900)]
+    want = {k: math.fsum(x for j, _, x in rows if j == k) for k in range(5)}
+    df = spark.createDataFrame(rows, "k int, part int, x double")
+    once = df.groupBy("k").agg(numeric.money_sum("x").alias("x"))
+    parts = df.repartition(5, "part").groupBy("k", "part").agg(*numeric.part_sums("x", "p"))
+    twice = parts.groupBy("k").agg(F.expr(numeric.parts_total("p")).alias("x"))
+    for got in (once, twice):
+        assert {r["k"]: r["x"] for r in got.collect()} == want
+    alone = parts.select("k", "part", F.expr(numeric.parts_value("p")).alias("x")).filter("k = 4").collect()
+    assert {(r["part"], r["x"]) for r in alone} == {(p, x) for k, p, x in rows if k == 4}
+
+
+def test_sums_of_many_large_parts_do_not_overflow(spark):
+    names = numeric.part_names("p")
+    row = [*(f"{2**61}L as {n}" for n in names[:-1]), f"0D as {names[-1]}"]
+    got = spark.range(40).selectExpr(*row).agg(F.expr(numeric.parts_total("p"))).first()[0]
+    assert got == float(sum(40 * 2**61 * 2 ** (26 * k) for k in range(8))) / 2.0**104
+
+
+def test_cents_round_half_to_even_in_binary(spark):
+    rows = [(x,) for x in (140485.675, 0.125, 2.675, -0.005, 1e300, 3.0)]
+    got = values(spark, [*rows, (None,)], "x double", numeric.round_cents("x"))
+    assert got == [*np.round([x for x, in rows], 2).tolist(), None]
+
+
 def test_unlog_clips_and_floors(spark):
     got = values(spark, [(0.0,), (-5.0,), (25.0,), (None,)], "x double", numeric.unlog("x"))
     assert got[:2] == [0.0, 0.0]
