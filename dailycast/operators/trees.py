@@ -1,4 +1,4 @@
-"""Tree ensembles on log targets: fitting, node tables, staged scores, early stopping."""
+"""Tree ensembles on log targets: fitting, node tables, staged scores."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import MAPE_EPS
-from dailycast.sources.staging import run_together, stage_path
+from dailycast.sources.staging import stage_path
 
 ROWS_PER_PARTITION = 200_000
 
@@ -35,19 +35,20 @@ class TreeSpec:
     bins: int = 64
     seed: int = 42
     patience: int | None = None
-    first_rounds: int = 100
     keep_best: bool = False  # predict at the best round, or with all trained rounds
+    bag_rounds: int = 1  # rounds that keep the same draw of rows
+    leaf_l2: float = 0.0  # rows that a leaf's mean is shrunk by
 
 
 # The hyperparameters of the three base models.
 FOREST = TreeSpec("rf", "forest", max_rounds=200, depth=8, min_rows=5, feature_share="sqrt")
 DEEP = TreeSpec(
     "lgb", "boosted", max_rounds=2000, depth=6, min_rows=20, feature_share="0.8",
-    step=0.03, row_share=0.8, patience=50, keep_best=True,
+    step=0.03, row_share=0.8, patience=50, keep_best=True, bag_rounds=5,
 )
 SHALLOW = TreeSpec(
     "xgb", "boosted", max_rounds=800, depth=4, min_rows=3, feature_share="0.8",
-    step=0.03, row_share=0.8, patience=50,
+    step=0.03, row_share=0.8, patience=50, leaf_l2=1.0,
 )
 
 
@@ -277,75 +278,6 @@ def round_curves(df: DataFrame, cells: Sequence[Cell], models: dict[str, Ensembl
     )
 
 
-def pick_rounds(curves: DataFrame, patience: int) -> DataFrame:
-    """``model, best_round, stop_round, stopped`` from curves of bounded length.
-
-    Training stops at the first round that is ``patience`` rounds past the best
-    one so far; without such a round it runs to the end.
-    """
-    so_far = (
-        Window.partitionBy("model").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    best = curves.withColumn("_best", F.min(F.struct("mape", "round")).over(so_far))
-    waited = F.col("round") - F.col("_best.round") >= patience
-    stop = F.min(F.when(waited, F.struct("round", "_best")))
-    last = F.max_by(F.struct("round", "_best"), "round")
-    return best.groupBy("model").agg(stop.alias("stop"), last.alias("last")).select(
-        "model",
-        F.coalesce("stop._best.round", "last._best.round").alias("best_round"),
-        F.coalesce("stop.round", "last.round").alias("stop_round"),
-        F.col("stop").isNotNull().alias("stopped"),
-    )
-
-
-def fit_cells(
-    train: DataFrame, cells: Sequence[Cell], workers: int = 8
-) -> dict[str, tuple[Ensemble, int]]:
-    """Fit every cell; boosted ones until their fold's error stops improving.
-
-    A shorter fit with the same seed and partitioning is an exact prefix of a
-    longer one, so a cell's length doubles until its stopping round lies inside
-    it: at most twice the rounds needed, instead of always ``max_rounds``. The
-    independent fits of a pass run together, and one scan scores them all.
-    """
-    spark = train.sparkSession
-    length = {
-        c.name: c.spec.max_rounds if c.spec.patience is None
-        else min(c.spec.first_rounds, c.spec.max_rounds)
-        for c in cells
-    }
-    done, pending = {}, list(cells)
-    while pending:
-        def one(c: Cell) -> Saved:
-            return save(fit(train.filter(F.col("fold") < c.fold), c.label, c.spec, length[c.name]))
-
-        saved = run_together(spark, [lambda c=c: one(c) for c in pending], workers)
-        models = load_ensembles(node_tables(spark, dict(zip([c.name for c in pending], saved))))
-        choice = {}
-        watched = [c for c in pending if c.spec.patience is not None]
-        if watched:
-            curves = round_curves(train, watched, models).persist()
-            for p in {c.spec.patience for c in watched}:
-                names = [c.name for c in watched if c.spec.patience == p]
-                picked = pick_rounds(curves.filter(F.col("model").isin(names)), p)
-                choice.update({r["model"]: r for r in picked.collect()})  # one row per model
-            curves.unpersist()
-        again = []
-        for c in pending:
-            picked = choice.get(c.name)
-            if picked is None:
-                used = len(models[c.name])
-            elif picked["stopped"] or length[c.name] >= c.spec.max_rounds:
-                used = picked["best_round"] if c.spec.keep_best else picked["stop_round"]
-            else:
-                length[c.name] = min(length[c.name] * 2, c.spec.max_rounds)
-                again.append(c)
-                continue
-            done[c.name] = (models[c.name].prefix(used), used)
-        pending = again
-    return done
-
-
 def impurity_importance(spark: SparkSession, model, columns: Sequence[str]) -> DataFrame:
     """``feature, score`` as the model reports it; one row per feature."""
     scores = model.featureImportances.toArray()

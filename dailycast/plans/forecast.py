@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.numeric import log_target, unlog
-from dailycast.operators import folds, impute, linear, scoring, stack, trees
+from dailycast.operators import boosting, folds, impute, linear, scoring, stack, trees
 from dailycast.sources.staging import run_together, stage
 from dailycast.sources.tables import align_columns
 
@@ -42,9 +42,9 @@ def small_config(rounds: int = 8, trees_per_forest: int = 20, n_splits: int = 5)
     return ForecastConfig(
         n_splits=n_splits,
         forest=replace(trees.FOREST, max_rounds=trees_per_forest, depth=5),
-        deep=replace(trees.DEEP, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=3, depth=4),
+        deep=replace(trees.DEEP, max_rounds=rounds, step=0.3, patience=3, depth=4),
         shallow=replace(
-            trees.SHALLOW, max_rounds=rounds, first_rounds=rounds, step=0.3, patience=3, depth=3
+            trees.SHALLOW, max_rounds=rounds, step=0.3, patience=3, depth=3
         ),
         meta_rounds=20,
     )
@@ -116,7 +116,7 @@ def run_cv(matrix: Matrix, config: ForecastConfig) -> CvResult:
         for spec in config.specs
         for t in TARGETS
     }
-    fitted = trees.fit_cells(matrix.train, list(cells.values()), config.workers)
+    fitted = boosting.fit_cells(matrix.train, list(cells.values()), matrix.keys, config.workers)
     used = [(*key, fitted[c.name][1]) for key, c in cells.items()]
 
     names = {s.name: tuple(f"{s.name}_{t}" for t in TARGETS) for s in config.specs}

@@ -70,37 +70,6 @@ def test_round_curve_by_hand(spark, matrix):
         assert got[k] == pytest.approx(want)
 
 
-@pytest.mark.parametrize(
-    "curve, patience, expected",
-    [
-        ([5, 4, 3, 3, 3, 2], 2, (3, 5, True)),  # equal is no improvement
-        ([5, 4, 3, 2, 1, 1], 2, (5, 6, False)),
-        ([1, 2, 3], 5, (1, 3, False)),
-    ],
-)
-def test_patience(spark, curve, patience, expected):
-    rows = [("a", i, float(m)) for i, m in enumerate(curve, 1)] + [("b", 1, 9.0)]
-    df = spark.createDataFrame(rows, "model string, round int, mape double")
-    got = {r["model"]: tuple(r)[1:] for r in trees.pick_rounds(df, patience).collect()}
-    assert got == {"a": expected, "b": (1, 1, False)}
-
-
-def test_length_doubles_until_stopped(spark, matrix):
-    spec = trees.TreeSpec(
-        "t", "boosted", max_rounds=16, depth=3, min_rows=3, feature_share="all", step=0.5,
-        patience=3, first_rounds=2, keep_best=True,
-    )
-    cells = [trees.Cell(t, 5, f"log_{t}", spec) for t in ("revenue", "cogs")]
-    fitted = trees.fit_cells(matrix.train, cells)
-    past = matrix.train.filter("fold < 5")
-    for c in cells:
-        ensemble, used = fitted[c.name]
-        full = trees.load_ensemble(trees.node_table(spark, trees.fit(past, c.label, spec, 16)))
-        curve = trees.round_curves(matrix.train, [c], {c.name: full})
-        best = trees.pick_rounds(curve, 3).first()["best_round"]
-        assert used == best == len(ensemble)
-
-
 def brute_shapley(ensemble, x, n_features):
     """Every coalition of features, by walking the trees."""
 
