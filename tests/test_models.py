@@ -110,6 +110,54 @@ def test_attribution_against_every_coalition(spark, matrix, spec):
         assert r["phi"][2] == 0.0
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 12])
+def test_leaf_attribution_against_coalition_sums(width):
+    """Depth 12 costs 6 Gauss nodes; a table over patterns would have 4096 entries a slot."""
+    rng = np.random.default_rng(width)
+    share, inside = rng.uniform(0.05, 1, width), rng.integers(0, 2, (4, width)).astype(float)
+    got = attribution.leaf_shapley([inside[:, [j]] for j in range(width)], share[None, :], np.array([3.0]))
+    for r in range(4):
+        for i in range(width):
+            coef = np.array([1.0])
+            for j in range(width):
+                if j != i:
+                    coef = np.convolve(coef, [share[j], inside[r, j]])
+            weight = [math.factorial(s) * math.factorial(width - 1 - s) / math.factorial(width) for s in range(width)]
+            want = 3.0 * (inside[r, i] - share[i]) * float(coef @ weight)
+            assert got[i][r, 0] == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
+def test_attribution_adds_up_at_full_depth_and_length():
+    """500 trees of depth 6 on 30 features, the size of a whole importance run."""
+    rng = np.random.default_rng(3)
+    model = trees.Ensemble([])
+    for _ in range(500):
+        n, depth = 127, 6
+        inner = np.arange(n) < 2**depth - 1
+        rows = np.where(inner, 0, rng.integers(1, 30, n)).astype(float)
+        for k in range(2**depth - 2, -1, -1):
+            rows[k] = rows[2 * k + 1] + rows[2 * k + 2]
+        model.weights.append(0.03)
+        model.feature.append(rng.integers(0, 30, n))
+        model.threshold.append(rng.normal(size=n))
+        model.left.append(np.where(inner, 2 * np.arange(n) + 1, -1))
+        model.right.append(np.where(inner, 2 * np.arange(n) + 2, -1))
+        model.value.append(rng.normal(size=n))
+        model.rows.append(rows)
+    x = rng.normal(size=(40, 30))
+    base, groups = attribution.leaf_groups(model)
+    phi = attribution.attribute_block(x, groups, 30)
+    assert phi.sum(axis=1) + base == pytest.approx(model.predict(x), abs=1e-9)
+
+
+def test_mean_abs_exchanges_one_row_a_task(spark):
+    rows = spark.createDataFrame([([1.0, -2.0],), ([-3.0, 0.0],)], "phi array<double>")
+    got = attribution.mean_abs(rows, ["a", "b"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert {tuple(r) for r in got.collect()} == {("a", 2.0), ("b", 1.0)}
+
+
 def test_cv_predicts_every_validated_row_once(matrix, cv):
     oof = fc.complete_oof(matrix, cv, fc.ForecastConfig())
     per_row = oof.groupBy("date", "model", "target").count()
