@@ -127,6 +127,15 @@ def meta_query(name):
     return run
 
 
+STACK_SQL = {
+    **BASE_SQL,
+    "st": """
+        select date, target, max(pred) filter (model = 'lag_1y') as x1,
+               max(pred) filter (model = 'monthday_mean') as x2,
+               max(pred) filter (model = 'month_mean') as x3, max(actual) as y
+        from oof group by 1, 2""",
+}
+
 # Ridge on three columns has a closed form: the normal equations by Cramer's rule.
 RIDGE_SQL = with_ctes(
     """select 'ridge' as meta_learner, target, unnest(['lag_1y', 'monthday_mean', 'month_mean',
@@ -140,12 +149,7 @@ RIDGE_SQL = with_ctes(
              from (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) as det
                    from sums))""",
     {
-        **BASE_SQL,
-        "st": """
-            select date, target, max(pred) filter (model = 'lag_1y') as x1,
-                   max(pred) filter (model = 'monthday_mean') as x2,
-                   max(pred) filter (model = 'month_mean') as x3, max(actual) as y
-            from oof group by 1, 2""",
+        **STACK_SQL,
         "sums": """
             select target, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
                    count(*) * var_pop(x1) + 1 as a, count(*) * covar_pop(x1, x2) as b,
@@ -157,19 +161,49 @@ RIDGE_SQL = with_ctes(
     },
 )
 
+
+
+def descent_sql(name: str, sweeps: int = 3000) -> str:
+    """Coordinate descent on the covariances of three columns, one recursion step a sweep."""
+    spec = stack.META[name]
+    l1, l2 = spec.alpha * spec.l1_share, spec.alpha * (1 - spec.l1_share)
+    soft = lambda pull, own: f"(sign({pull}) * greatest(abs({pull}) - {l1!r}, 0) / ({own} + {l2!r}))"
+    return with_ctes(
+        f"""select '{name}' as meta_learner, target, unnest(['lag_1y', 'monthday_mean', 'month_mean', 'intercept']) as model,
+                   unnest([round(w1, 4), round(w2, 4), round(w3, 4),
+                           round(my - w1 * m1 - w2 * m2 - w3 * m3, 4)]) as weight
+            from swept join covs using (target) where step = {sweeps}""",
+        {
+            **STACK_SQL,
+            "covs": """
+                select target, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
+                       var_pop(x1) as a, covar_pop(x1, x2) as b, covar_pop(x1, x3) as c, var_pop(x2) as d,
+                       covar_pop(x2, x3) as e, var_pop(x3) as f, covar_pop(x1, y) as p, covar_pop(x2, y) as q,
+                       covar_pop(x3, y) as r from st group by 1""",
+            "swept": f"""
+                select target, 0 as step, 0::double as w1, 0::double as w2, 0::double as w3 from covs
+                union all
+                select target, step + 1, v1, v2, {soft("(r - c * v1 - e * v2)", "f")}
+                from (select *, {soft("(q - b * v1 - e * w3)", "d")} as v2
+                      from (select s.*, k.* exclude (target), {soft("(p - b * w2 - c * w3)", "a")} as v1
+                            from swept s join covs k using (target) where step < {sweeps}))""",
+        },
+    ).replace("with ", "with recursive ", 1)
+
+
+META_SQL = {"ridge": RIDGE_SQL, "lasso": descent_sql("lasso"), "elasticnet": descent_sql("elasticnet")}
+
 for _name in stack.META:
-    query(f"meta_{_name}", RIDGE_SQL if _name == "ridge" else None)(meta_query(_name))
+    query(f"meta_{_name}", META_SQL.get(_name))(meta_query(_name))
 
 
 @query("stack_weights")
 def stack_weights(spark, root):
     """Weights of every linear meta-learner side by side."""
-    rows = base_matrix(spark, root)
+    specs = [CONFIG.meta_spec(name) for name in ("huber", "ridge", "lasso", "elasticnet", "bayesian_ridge")]
     out = None
-    for name in ("huber", "ridge", "lasso", "elasticnet", "bayesian_ridge"):
-        part = stack.stack_weights(
-            stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec(name)), spark
-        )
+    for fits in stack.fit_stacks(base_matrix(spark, root), list(MODELS), specs):
+        part = stack.stack_weights(fits, spark)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -1,16 +1,19 @@
-"""Meta-learners on the stack matrix, as Spark ML jobs.
+"""Meta-learners on the stack matrix.
 
-Penalties follow the usual definition, mean squared error over two plus
-``l1 * |w| + l2 / 2 * |w|^2`` on unscaled features. Spark divides its L2 term by
-the deviation of the label, so that factor is multiplied back in.
+Ridge, lasso, elastic net and Bayesian ridge need no more than the second moments of the
+rows, so one job collects those for all targets and serves all four; what is left is a
+k x k problem. Huber and boosted learners are Spark ML fits. Penalties follow the usual
+definition, mean squared error over two plus ``l1 * |w| + l2 / 2 * |w|^2``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,8 +79,10 @@ def choose(name: str, **changes) -> MetaSpec:
 
 
 def fit_meta(df: DataFrame, features: Sequence[str], label: str, spec: MetaSpec) -> MetaFit:
-    if spec.kind == "bayes":
-        return _fit_bayes(df, features, label, spec)
+    """One learner on one table."""
+    if from_moments(spec):
+        (m,) = moments_by(df.withColumn("_all", F.lit("all")), features, label, "_all").values()
+        return solve(m, features, spec)
     rows = assemble(df, features, "_stack")
     if spec.kind == "boosted":
         model = GBTRegressor(
@@ -86,78 +91,134 @@ def fit_meta(df: DataFrame, features: Sequence[str], label: str, spec: MetaSpec)
         ).fit(rows)
         weights = tuple(float(w) for w in model.featureImportances.toArray())
         return MetaFit(spec, tuple(features), weights, None, model)
-    model = _linear(df, label, spec).fit(rows)
+    model = LinearRegression(
+        featuresCol="_stack", labelCol=label, predictionCol="_meta", loss="huber", epsilon=spec.epsilon,
+        regParam=spec.alpha / df.filter(F.col(label).isNotNull()).count(), standardization=False, maxIter=2000,
+    ).fit(rows)
     weights = tuple(float(w) for w in model.coefficients)
     return MetaFit(spec, tuple(features), weights, float(model.intercept))
 
 
-def _linear(df: DataFrame, label: str, spec: MetaSpec) -> LinearRegression:
-    size = df.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sigma")).first()
-    common = dict(featuresCol="_stack", labelCol=label, predictionCol="_meta")
-    if spec.kind == "huber":
-        return LinearRegression(
-            loss="huber", epsilon=spec.epsilon, regParam=spec.alpha / size["n"],
-            standardization=False, maxIter=2000, **common,
-        )
+def from_moments(spec: MetaSpec) -> bool:
+    return spec.kind in ("penalty", "bayes")
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Count, means and centred sums of products of the features and, last, the label."""
+
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Moments:
+        mean = rows.mean(axis=0)
+        away = rows - mean
+        return Moments(len(rows), mean, away.T @ away)
+
+    def __add__(self, other: Moments) -> Moments:
+        n, away = self.n + other.n, other.mean - self.mean
+        scatter = self.scatter + other.scatter + np.outer(away, away) * (self.n * other.n / n)
+        return Moments(n, self.mean + away * (other.n / n), scatter)
+
+    def row(self, group: str) -> dict:
+        return {"group": group, "n": self.n, "mean": self.mean.tolist(), "scatter": self.scatter.ravel().tolist()}
+
+    @staticmethod
+    def read(row) -> Moments:
+        mean = np.array(row["mean"])
+        return Moments(int(row["n"]), mean, np.array(row["scatter"]).reshape(len(mean), len(mean)))
+
+
+_MOMENTS = "group string, n long, mean array<double>, scatter array<double>"
+
+
+def moments_by(df: DataFrame, features: Sequence[str], label: str, group: str) -> dict[str, Moments]:
+    """Moments of the rows of every group, from one scan; groups are few, such as the targets.
+
+    A task returns one row of k x k numbers for each group; about sqrt(tasks) slots merge those on
+    executors, in the order of the tasks, and the driver merges the slots. Rows with a NULL
+    among the columns are left out.
+    """
+    columns = [*features, label]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, Moments] = {}
+        for b in batches:
+            for key, rows in b.dropna().groupby("_group"):
+                m = Moments.of(rows[columns].to_numpy(np.float64))
+                found[key] = found[key] + m if key in found else m
+        yield pd.DataFrame([m.row(k) for k, m in found.items()], columns=["group", "n", "mean", "scatter"])
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        found: dict[str, Moments] = {}
+        for r in rows.sort_values("part").to_dict("records"):
+            m = Moments.read(r)
+            found[r["group"]] = found[r["group"]] + m if r["group"] in found else m
+        return pd.DataFrame([m.row(k) for k, m in found.items()])
+
+    rows = df.select(F.col(group).cast("string").alias("_group"), *[F.col(c).cast("double").alias(c) for c in columns])
+    slots = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    parts = rows.mapInPandas(partial, _MOMENTS).withColumn("part", F.spark_partition_id())
+    merged = parts.groupBy("group", (F.col("part") % slots).alias("slot")).applyInPandas(merge, _MOMENTS)
+    out: dict[str, Moments] = {}
+    for r in sorted(merged.collect(), key=lambda r: (r["group"], r["n"], r["mean"])):
+        m = Moments.read(r)
+        out[r["group"]] = out[r["group"]] + m if r["group"] in out else m
+    return out
+
+
+def solve(m: Moments, features: Sequence[str], spec: MetaSpec) -> MetaFit:
+    """The learner that the moments determine."""
+    k = len(features)
+    xx, xy, yy = m.scatter[:k, :k], m.scatter[:k, k], m.scatter[k, k]
+    weights = _bayes(m.n, xx, xy, yy) if spec.kind == "bayes" else _descend(m.n, xx, xy, spec)
+    intercept = float(m.mean[k] - m.mean[:k] @ weights)
+    return MetaFit(spec, tuple(features), tuple(float(w) for w in weights), intercept)
+
+
+def _descend(n: int, xx: np.ndarray, xy: np.ndarray, spec: MetaSpec, sweeps: int = 100_000, tol: float = 1e-12) -> np.ndarray:
+    """Coordinate descent on covariances; a pass over weights costs k x k, however many rows there are."""
+    c, q = xx / n, xy / n
+    scale = np.sqrt(np.diag(c)) if spec.scaled else np.ones(len(q))
+    scale = np.where(scale > 0, scale, 1.0)
+    c, q = c / np.outer(scale, scale), q / scale
     l1 = spec.alpha * spec.l1_share
-    l2 = spec.alpha * (1.0 - spec.l1_share) / (size["n"] if spec.sum_loss else 1)
-    total = l1 + l2 * size["sigma"]
-    return LinearRegression(
-        regParam=total, elasticNetParam=l1 / total if total else 0.0,
-        standardization=spec.scaled, solver="normal", maxIter=5000, tol=1e-9, **common,
-    )
-
-
-def moments(df: DataFrame, features: Sequence[str], label: str) -> dict:
-    """Count, means and centred second moments of features and label in one job."""
-    cols = [*features, label]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(
-        F.count(label).alias("n"),
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.covar_pop(cols[i], cols[j]).alias(f"c{i}_{j}") for i, j in pairs],
-    ).first()
-    cov = np.empty((len(cols), len(cols)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-    k, n = len(features), row["n"]
-    return {
-        "n": n,
-        "x_mean": np.array([row[f"m{i}"] for i in range(k)]),
-        "y_mean": row[f"m{k}"],
-        "xx": cov[:k, :k] * n,
-        "xy": cov[:k, k] * n,
-        "yy": cov[k, k] * n,
-    }
-
-
-def _fit_bayes(
-    df: DataFrame, features: Sequence[str], label: str, spec: MetaSpec,
-    max_iter: int = 300, tol: float = 1e-3, prior: float = 1e-6,
-) -> MetaFit:
-    """Evidence maximisation (MacKay 1992) on the moments: a k x k problem per step."""
-    m = moments(df, features, label)
-    eig, basis = np.linalg.eigh(m["xx"])
-    eig, target = np.maximum(eig, 0.0), basis.T @ m["xy"]
-    spread = m["yy"] / m["n"]
-    noise, slope = 1.0 / (spread + np.finfo(float).eps), 1.0
-
-    def solve() -> np.ndarray:
-        return basis @ (target / (eig + slope / noise))
+    l2 = spec.alpha * (1.0 - spec.l1_share) / (n if spec.sum_loss else 1)
+    if not l1:
+        return np.linalg.lstsq(c + l2 * np.eye(len(q)), q, rcond=None)[0] / scale
+    w = np.zeros(len(q))
+    for _ in range(sweeps):
+        most = 0.0
+        for j in np.flatnonzero(np.diag(c) > 0):
+            pull = q[j] - c[j] @ w + c[j, j] * w[j]
+            new = math.copysign(max(abs(pull) - l1, 0.0), pull) / (c[j, j] + l2)
+            most = max(most, abs(new - w[j]) * math.sqrt(c[j, j]))
+            w[j] = new
+        if most <= tol * max(1.0, math.sqrt(abs(q @ w))):
+            break
+    return w / scale
 
+
+def _bayes(
+    n: int, xx: np.ndarray, xy: np.ndarray, yy: float, max_iter: int = 300, tol: float = 1e-3, prior: float = 1e-6
+) -> np.ndarray:
+    """Evidence maximisation (MacKay 1992): a k x k problem per step."""
+    eig, basis = np.linalg.eigh(xx)
+    eig, target = np.maximum(eig, 0.0), basis.T @ xy
+    noise, slope = 1.0 / (yy / n + np.finfo(float).eps), 1.0
     previous = None
     for _ in range(max_iter):
-        weights = solve()
-        sse = m["yy"] - 2 * weights @ m["xy"] + weights @ m["xx"] @ weights
+        weights = basis @ (target / (eig + slope / noise))
+        sse = yy - 2 * weights @ xy + weights @ xx @ weights
         used = float(np.sum(noise * eig / (slope + noise * eig)))
         slope = (used + 2 * prior) / (float(weights @ weights) + 2 * prior)
-        noise = (m["n"] - used + 2 * prior) / (max(sse, 0.0) + 2 * prior)
+        noise = (n - used + 2 * prior) / (max(sse, 0.0) + 2 * prior)
         if previous is not None and np.abs(weights - previous).sum() < tol:
             break
         previous = weights
-    weights = solve()
-    intercept = float(m["y_mean"] - m["x_mean"] @ weights)
-    return MetaFit(spec, tuple(features), tuple(float(w) for w in weights), intercept)
+    return basis @ (target / (eig + slope / noise))
 
 
 def weight_rows(fit: MetaFit, target: str) -> list[tuple[str, str, str, float]]:

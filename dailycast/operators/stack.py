@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import mape, r2
 from dailycast.functions.numeric import cap_to_margin, clipped_expm1, floor_zero, log_target, round_cents
-from dailycast.operators.linear import META, MetaFit, MetaSpec, fit_meta, weight_rows
+from dailycast.operators.linear import META, MetaFit, MetaSpec, fit_meta, from_moments, moments_by, solve, weight_rows
 from dailycast.operators.scoring import TARGETS
 from dailycast.sources.staging import run_together
 
@@ -32,16 +32,26 @@ def fit_stack(
     matrix: DataFrame, models: Sequence[str], spec: MetaSpec
 ) -> dict[str, MetaFit]:
     """One meta-learner per target, fitted on raw (not log) amounts."""
-    return _fit_targets(matrix, models, "actual", {t: spec for t in TARGETS})
+    return fit_stacks(matrix, models, [spec])[0]
 
 
-def _fit_targets(rows: DataFrame, columns, label: str, specs: dict) -> dict[str, MetaFit]:
-    """The two targets' fits are independent, so they run at the same time."""
-    fits = run_together(
-        rows.sparkSession,
-        [lambda t=t, s=s: fit_meta(of_target(rows, t), columns, label, s) for t, s in specs.items()],
-    )
-    return dict(zip(specs, fits))
+def fit_stacks(matrix: DataFrame, models: Sequence[str], specs: Sequence[MetaSpec]) -> list[dict[str, MetaFit]]:
+    """Several meta-learners; one scan serves both targets of all that moments determine."""
+    return _fit_targets(matrix, models, "actual", [{t: s for t in TARGETS} for s in specs])
+
+
+def _fit_targets(rows: DataFrame, columns, label: str, wanted: Sequence[dict[str, MetaSpec]]) -> list[dict[str, MetaFit]]:
+    """The fits are independent, so what needs a job of its own runs at the same time."""
+    some = any(from_moments(s) for specs in wanted for s in specs.values())
+    jobs = [lambda: moments_by(rows, columns, label, "target") if some else {}]
+    single = [(i, t, s) for i, specs in enumerate(wanted) for t, s in specs.items() if not from_moments(s)]
+    jobs += [lambda t=t, s=s: fit_meta(of_target(rows, t), columns, label, s) for _, t, s in single]
+    known, *fits = run_together(rows.sparkSession, jobs)
+    fitted = {(i, t): f for (i, t, _), f in zip(single, fits)}
+    return [
+        {t: fitted[i, t] if (i, t) in fitted else solve(known[t], columns, s) for t, s in specs.items()}
+        for i, specs in enumerate(wanted)
+    ]
 
 
 def predict_stack(
@@ -91,7 +101,7 @@ def fit_residual(
     """
     gap = log_target("actual") - log_target(floor_zero("pred"))
     rows = stacked.withColumn("_gap", gap).join(features, [*keys, "date"])
-    return _fit_targets(rows, columns, "_gap", RESIDUAL)
+    return _fit_targets(rows, columns, "_gap", [RESIDUAL])[0]
 
 
 def predict_residual(
@@ -130,10 +140,7 @@ def compare_stackers(
     """
     actual = matrix.select(*keys, "date", "target", "actual")
     boards, specs = [], list(specs or META.values())
-    fitted = run_together(
-        matrix.sparkSession, [lambda s=s: fit_stack(matrix, models, s) for s in specs]
-    )
-    for i, (spec, fits) in enumerate(zip(specs, fitted)):
+    for i, (spec, fits) in enumerate(zip(specs, fit_stacks(matrix, models, specs))):
         wide = constrain(to_wide(predict_stack(matrix, fits, keys), keys))
         long = wide.select(
             *keys,

@@ -81,6 +81,35 @@ def test_huber_resists_outliers(spark, data):
     assert np.array(f.weights) == pytest.approx([2.0, -1.0, 0.5], abs=0.2)
 
 
+def test_moments_merge_to_those_of_all_rows(spark, data):
+    df, x, y = data
+    rows = df.selectExpr("*", "if(a > 5, 'up', 'down') as side").repartition(7)
+    got = linear.moments_by(rows.union(rows.limit(1).selectExpr("null as a", "b", "c", "y", "side")), ["a", "b", "c"], "y", "side")
+    for side, mine in (("up", x[:, 0] > 5), ("down", x[:, 0] <= 5)):
+        every = np.column_stack([x, y])[mine]
+        assert got[side].n == mine.sum() and got[side].mean == pytest.approx(every.mean(0))
+        assert got[side].scatter == pytest.approx(np.cov(every.T, ddof=0) * mine.sum(), rel=1e-9)
+
+
+def test_one_scan_serves_all_learners_of_moments(spark, data, monkeypatch):
+    rows = data[0].selectExpr("a", "b", "c", "y as actual", "if(a > 5, 'revenue', 'cogs') as target")
+    calls = []
+    real = linear.moments_by
+    monkeypatch.setattr(stack, "moments_by", lambda *a: (calls.append(a), real(*a))[1])
+    specs = [linear.META[n] for n in ("ridge", "lasso", "elasticnet", "bayesian_ridge")]
+    fits = stack.fit_stacks(rows, ["a", "b", "c"], specs)
+    assert len(calls) == 1 and len(fits) == 4 and all(set(f) == {"revenue", "cogs"} for f in fits)
+    for spec, both in zip(specs, fits):
+        alone = linear.fit_meta(stack.of_target(rows, "cogs"), ["a", "b", "c"], "actual", spec)
+        assert both["cogs"].weights == pytest.approx(alone.weights, rel=1e-9)
+
+
+def test_constant_features_get_no_weight(spark):
+    rows = spark.createDataFrame([(float(i), 1.0, 2.0 * i) for i in range(9)], ["a", "b", "y"])
+    f = linear.fit_meta(rows, ["a", "b"], "y", stack.RESIDUAL["cogs"])
+    assert f.weights[1] == 0.0 and f.weights[0] == pytest.approx(2.0, abs=0.01)
+
+
 def test_column_predicts_like_the_weights(data):
     df, x, _ = data
     f = linear.fit_meta(df, ["a", "b", "c"], "y", linear.META["ridge"])
