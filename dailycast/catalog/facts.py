@@ -8,7 +8,7 @@ from dailycast.catalog.registry import query
 from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, msum, with_ctes
 from dailycast.functions.numeric import parts_value
 from dailycast.operators import annual, growth
-from dailycast.operators.attach import salted_left_join
+from dailycast.operators.attach import heavy_left_join
 from dailycast.sources import retail
 from dailycast.sources.staging import stage
 from dailycast.sources.tables import Facts
@@ -59,9 +59,9 @@ def jn_first_year(spark, root):
     first = (
         orders.filter(F.col("customer_id").isNotNull())
         .groupBy("customer_id")
-        .agg(F.min("year").alias("first_year"))
+        .agg(F.min("year").alias("first_year"), F.count(F.lit(1)).alias("orders"))
     )
-    return salted_left_join(orders, first, "customer_id", spread="order_id").select(
+    return heavy_left_join(orders, first, "customer_id", weight="orders", spread="order_id").select(
         "order_id", "customer_id", "year", "first_year"
     )
 

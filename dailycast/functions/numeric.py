@@ -78,13 +78,20 @@ def _value(digits: list[str], huge: str) -> str:
     return f"(aggregate(array({sums}), {start}, (a, t) -> {step}, a -> a.v * {top!r}D) + {huge})"
 
 
-def part_sums(x: str, name: str) -> list[Column]:
-    """Aggregates that hold the exact sum of an amount's finite values: ``name_0`` and so on.
+def part_columns(x: str, name: str) -> list[Column]:
+    """An amount's exact parts as columns ``name_0`` and so on; NULL unless it is finite."""
+    digits = [F.expr(d).alias(f"{name}_{k}") for k, d in enumerate(_digits(x))]
+    return [*digits, F.expr(f"if(abs({x}) >= {HUGE} and abs({x}) < double('inf'), {x}, null)").alias(f"{name}_huge")]
 
-    They can be added up again (``parts_total``), in any order and grouping, with the same result.
+
+def part_sums(name: str) -> list[Column]:
+    """Aggregates that add parts up, digit by digit, under the same names; 0 if there are none.
+
+    Sums of parts can be added up again (``parts_total``), in any order and grouping, with the
+    same result.
     """
-    sums = [F.expr(f"coalesce(sum({d}), 0L)").alias(f"{name}_{k}") for k, d in enumerate(_digits(x))]
-    return [*sums, F.expr(_huge(x)).alias(f"{name}_huge")]
+    *digits, huge = part_names(name)
+    return [*[F.expr(f"coalesce(sum({d}), 0L)").alias(d) for d in digits], F.expr(f"coalesce(sum({huge}), 0D)").alias(huge)]
 
 
 def part_names(name: str) -> list[str]:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import part_sums, parts_total, ratio
+from dailycast.functions.numeric import part_columns, part_sums, parts_total, ratio
 from dailycast.operators.attach import attach_row
 from dailycast.operators.growth import row_growth
 from dailycast.sources.tables import Facts
@@ -100,9 +100,9 @@ def order_years(orders: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def item_totals(items: DataFrame) -> DataFrame:
     """Value and discount of every order, in exact parts."""
-    return items.groupBy("order_id").agg(
-        F.lit(1).alias("_lines"), *part_sums("quantity * unit_price", "value"), *part_sums("discount_amount", "discount")
-    )
+    parts = [*part_columns("quantity * unit_price", "value"), *part_columns("discount_amount", "discount")]
+    sums = [*part_sums("value"), *part_sums("discount")]
+    return items.select("order_id", *parts).groupBy("order_id").agg(F.lit(1).alias("_lines"), *sums)
 
 
 def order_facts(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dailycast.sources.staging import stage
+
 
 def attach_stats(
     df: DataFrame, stats: DataFrame, on: Sequence[str], keys: Sequence[str] = ()
@@ -50,15 +52,25 @@ def attach_row(df: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> Dat
     return df.withColumn("_row", packed).select("*", "_row.*").drop("_row")
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, on: str, spread: str, salts: int = 16
+def heavy_left_join(
+    left: DataFrame, right: DataFrame, on: str, weight: str, spread: str, share: int = 1024, least: int = 100_000
 ) -> DataFrame:
-    """Left join in which the rows of one key are split over ``salts`` tasks.
+    """Left join in which only the keys with very many left rows are split over several tasks.
 
-    For a large left side whose key may be very uneven and a right side with one
-    row per key: left rows draw a salt from ``spread``, right rows are repeated
-    once per salt.
+    ``right`` has one row per key, and ``weight``, the number of left rows that the aggregation
+    behind it has counted with the rest. A key is heavy from ``least`` rows and a ``share``-th of
+    all on; there are at most ``share`` such keys, so their list is broadcast. Rows of a heavy key draw
+    one of its salts from ``spread``, and only its right row is repeated, once per salt: all
+    copies together are at most twice ``share``. Other keys move once, unsplit. Left rows
+    without a key, however many, are spread like those of a heavy one. ``weight`` is dropped.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = stage(right, "weighted")
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]
+    limit = max(least, -(-total // share))
+    salts = F.when(F.col(weight) >= limit, F.ceil(F.col(weight) / limit)).otherwise(1).cast("int")
+    heavy = right.filter(F.col(weight) >= limit).select(F.col(on), salts.alias("_salts"))
+    draw = F.xxhash64(spread)
+    salt = F.when(F.col(on).isNull(), F.pmod(draw, F.lit(share))).otherwise(F.pmod(draw, F.coalesce("_salts", F.lit(1))))
+    salted = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop(weight)
     return salted.join(copies, [on, "_salt"], "left").drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dailycast.functions.numeric import part_sums, parts_total
+from dailycast.functions.numeric import part_columns, part_sums, parts_total
 from dailycast.sources.tables import Facts
 
 
@@ -71,8 +71,13 @@ def order_totals(spark: SparkSession, root: str) -> DataFrame:
     prices = table(spark, root, "part").select("p_partkey", "p_retailprice")
     return (
         lines.join(prices, F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            "l_orderkey",
+            *part_columns("l_extendedprice * (1D - l_discount)", "rev"),
+            *part_columns("l_quantity * p_retailprice", "cost"),
+        )
         .groupBy("l_orderkey")
-        .agg(*part_sums("l_extendedprice * (1D - l_discount)", "rev"), *part_sums("l_quantity * p_retailprice", "cost"))
+        .agg(*part_sums("rev"), *part_sums("cost"))
     )
 
 
