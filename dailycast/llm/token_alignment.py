@@ -3,7 +3,8 @@
 Most groups pair one token with the one of the same bytes. An array from every id of the first
 tokenizer to that id of the second is made once; groups that follow it are counted in a vector
 as long as the vocabulary. Links of all other groups are counted as pairs, in a shuffle that
-only they enter. With the counts known, a second pass scores each document's links.
+only they enter. With the counts known, each document's distinct links are scored; they are
+written down beside it, so that no text is tokenized twice.
 
 Both tokenizers break before a single blank that stands between other characters, so texts are
 cut there, and a worker aligns each distinct piece once.
@@ -12,18 +13,17 @@ cut there, and a worker aligns each distinct piece once.
 import hashlib
 import json
 import re
-import uuid
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from dailycast.llm.bpe_stream import Rules, byte_letters
-from dailycast.llm.common import held, slices, spare_name
+from dailycast.llm.common import held, spare_name
 from dailycast.sources.staging import stage
 
 #: Pieces, and links of pieces, that a worker remembers; characters aligned in one step.
@@ -116,22 +116,20 @@ class Book:
     """Distinct pieces with what their alignment gives, numbered in the order in which they came.
 
     ``sums`` holds each piece's tokens of both kinds, groups and links, ``texts`` its groups as
-    text; ``same`` and ``odd`` the links along the identity array (their first id) and the others
-    (both ids in one number), flat, beside the pieces that they belong to.
+    text. ``links`` are pairs as one number, piece by piece: ``odd`` those of irregular groups,
+    ``same`` the others, which the first id of alone tells; ``at`` is where a piece's begin.
     """
 
     def __init__(self, aligner: Aligner):
-        self.aligner = aligner
-        self.era, self.query = 0, None
+        self.aligner, self.width = aligner, len(aligner.bytes_b)
         self.clear()
 
     def clear(self) -> None:
-        self.era += 1
         self.number: dict[str, int] = {}
         self.texts: list[bytes] = []
         self.fine = bytearray()
         self.sums = array("q")
-        self.same, self.same_of, self.odd, self.odd_of = (array("q") for _ in range(4))
+        self.same, self.same_n, self.same_at, self.odd, self.odd_n, self.odd_at = (array("q") for _ in range(6))
 
     def full(self) -> bool:
         return len(self.texts) > CACHE_SIZE or len(self.same) + len(self.odd) > CACHE_LINKS
@@ -156,10 +154,14 @@ class Book:
         group = np.cumsum(last) - last
         links = np.bincount(group, minlength=int(last.sum()))
         straight = (links[group] == 1) & (aligner.same[link_a] == link_b)
-        self.same.frombytes(link_a[straight].tobytes())
-        self.same_of.frombytes((piece[straight] + first).tobytes())
-        self.odd.frombytes((link_a[~straight] << 32 | link_b[~straight]).tobytes())
-        self.odd_of.frombytes((piece[~straight] + first).tobytes())
+        for values, n, at, mine, of in (
+            (self.same, self.same_n, self.same_at, link_a[straight], piece[straight]),
+            (self.odd, self.odd_n, self.odd_at, (link_a * self.width + link_b)[~straight], piece[~straight]),
+        ):
+            counts = np.bincount(of, minlength=len(raw))
+            at.frombytes((len(values) + np.cumsum(counts) - counts).tobytes())
+            n.frombytes(counts.tobytes())
+            values.frombytes(mine.tobytes())
 
         texts = [f"{x}|{y}" for x, y in zip(link_a[last].tolist(), link_b[last].tolist())]
         common = ends[last]
@@ -199,121 +201,126 @@ class Book:
         return [*([head] if head else []), *(" " + r for r in rest)]
 
 
+def _view(values: array) -> np.ndarray:
+    """A copy: an array that is looked at cannot grow."""
+    return np.array(values, np.int64)
+
+
+def _links(book: Book, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct links of some documents, by document: how many each has, the pairs, how often they occur."""
+    sizes = [0 if r is None else len(r) for r in rows]
+    pieces = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
+    doc = np.repeat(np.arange(len(rows)), sizes)
+    span = len(book.aligner.bytes_a) * book.width
+    codes = []
+    for values, n, at in ((book.same, book.same_n, book.same_at), (book.odd, book.odd_n, book.odd_at)):
+        n, at = _view(n)[pieces], _view(at)[pieces]
+        found = _view(values)[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        keys = found if values is book.odd else found * book.width + book.aligner.same[found]
+        codes.append(np.repeat(doc, n) * span + keys)
+    codes, times = np.unique(np.concatenate(codes), return_counts=True)
+    return np.bincount(codes // span, minlength=len(rows)), codes % span, times
+
+
+_NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+_KIND = ",".join(f"{n} long" for n in _NUMBERS) + ",groups_sha256 string,keys array<long>,times array<long>"
 _PAIR = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
 
+def _documents(book: Book, rows: list) -> pa.StructArray:
+    """What ``_KIND`` says of each document."""
+    sums = _view(book.sums).reshape(-1, 4)
+    numbers = np.array([sums[r].sum(axis=0) if r is not None else np.zeros(4, np.int64) for r in rows]).reshape(-1, 4)
+    digests = [
+        hashlib.sha256(b";".join(map(book.texts.__getitem__, r.tolist()))).hexdigest() if r is not None else "" for r in rows
+    ]
+    sizes, keys, times = _links(book, rows)
+    ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    columns = [pa.array(numbers[:, i]) for i in range(4)] + [pa.array(digests)]
+    columns += [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys, times)]
+    return pa.StructArray.from_arrays(columns, names=[*_NUMBERS, "groups_sha256", "keys", "times"])
+
+
 def _counts(book: Book, seen: np.ndarray) -> pa.RecordBatch:
     """How often each link was met, given how often each piece was: first the vector (b is null), then the pairs."""
+    seen = np.pad(seen, (0, len(book.texts) - len(seen)))
     vector = np.zeros(len(book.aligner.same), np.int64)
-    np.add.at(vector, np.frombuffer(book.same, np.int64), seen[np.frombuffer(book.same_of, np.int64)])
-    keys, at = np.unique(np.frombuffer(book.odd, np.int64), return_inverse=True)
+    np.add.at(vector, _view(book.same), np.repeat(seen, _view(book.same_n)))
+    keys, at = np.unique(_view(book.odd), return_inverse=True)
     n = np.zeros(len(keys), np.int64)
-    np.add.at(n, at, seen[np.frombuffer(book.odd_of, np.int64)])
+    np.add.at(n, at, np.repeat(seen, _view(book.odd_n)))
     met, ids = n > 0, np.flatnonzero(vector)
     keys = keys[met]
-    a = np.concatenate([ids, keys >> 32])
-    b = np.concatenate([np.full(len(ids), -1), keys & 0xFFFFFFFF])
+    a, b = np.concatenate([ids, keys // book.width]), np.concatenate([np.full(len(ids), -1), keys % book.width])
     columns = [pa.array(a, pa.int32()), pa.array(b, pa.int32(), mask=b < 0), pa.array(np.concatenate([vector[ids], n[met]]))]
     return pa.RecordBatch.from_arrays(columns, schema=_PAIR)
 
 
-class Scores:
-    """Of each piece of a book: its links whose pair is a best one, the sum of its links' counts, links still to look up."""
+def align_documents(docs: DataFrame, path_a: str, path_b: str, text: str, keep: tuple, made: str, pair: str) -> DataFrame:
+    """One pass over the texts: each row's ``keep`` and alignment ``made``, and each task's counts ``pair``.
 
-    def __init__(self, tables: tuple):
-        self.n_same, self.best_same, self.keys, self.n, self.best = tables
-        self.era, self.done = -1, (0, 0, 0)
+    A row has the one or the other. A task keeps the counts of links along the identity array in
+    a vector and adds up the other pairs; it gives both out when its pieces are forgotten.
+    """
+    kept = docs.select(*keep)
+    schema = StructType([StructField(f.name, f.dataType) for f in kept.schema])
+    schema = schema.add(made, StructType.fromDDL(_KIND)).add(pair, StructType.fromDDL("a int, b int, n long"))
+    names, key = schema.names, ("align", path_a, path_b)
+
+    def counted(book: Book, seen: np.ndarray, kinds: list) -> pa.RecordBatch:
+        pairs = _counts(book, seen)
+        columns = [pa.nulls(len(pairs), k) for k in kinds]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(pairs), made_kind), pairs.to_struct_array()], names=names)
+
+    made_kind = _documents_kind()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = held(key, lambda: Book(Aligner(path_a, path_b)))
+        seen, kinds = np.zeros(0, np.int64), []
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:-1]]
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                at = 0
+                for rows in book.read(part.columns[-1].to_pylist()):
+                    met = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
+                    seen = np.bincount(met, minlength=len(book.texts)) + np.pad(seen, (0, len(book.texts) - len(seen)))
+                    own = [c.slice(at, len(rows)) for c in part.columns[:-1]]
+                    none = pa.nulls(len(rows), pa.struct(list(_PAIR)))
+                    yield pa.RecordBatch.from_arrays([*own, _documents(book, rows), none], names=names)
+                    at += len(rows)
+                if book.full():
+                    yield counted(book, seen, kinds)
+                    book.clear()
+                    seen = np.zeros(0, np.int64)
+        if seen.any():
+            yield counted(book, seen, kinds)
 
-    def update(self, book: Book) -> None:
-        if self.era != book.era:
-            self.era, self.done, self.sums, self.rare = book.era, (0, 0, 0), np.zeros((0, 2), np.int64), {}
-        pieces, same, odd = self.done
-        if len(book.texts) == pieces:
-            return
-        self.done = len(book.texts), len(book.same), len(book.odd)
-        out = np.zeros((len(book.texts) - pieces, 2), np.int64)
-        ids, of = (np.frombuffer(x, np.int64)[same:] for x in (book.same, book.same_of))
-        np.add.at(out, of - pieces, np.column_stack([self.best_same[ids], self.n_same[ids]]))
-        keys, of = (np.frombuffer(x, np.int64)[odd:] for x in (book.odd, book.odd_of))
-        if len(keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-            there = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-            np.add.at(out, of[there] - pieces, np.column_stack([self.best[at[there]], self.n[at[there]]]))
-            for k, key in zip(of[~there].tolist(), keys[~there].tolist()):
-                self.rare.setdefault(k, []).append(key)
-        self.sums = np.concatenate([self.sums, out])
-
-
-_NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_RESULT = pa.struct(
-    [(name, pa.int64()) for name in _NUMBERS]
-    + [("groups_sha256", pa.string()), ("rare", pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())])))]
-)
-_KIND = ",".join(f"{n}:long" for n in _NUMBERS) + ",groups_sha256:string,rare:array<struct<key:long,times:long>>"
+    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
 
 
-def _score(book: Book, scores: Scores, texts: list) -> list[dict]:
-    out = []
-    for rows in book.read(texts):
-        scores.update(book)
-        sums = np.frombuffer(book.sums, np.int64).reshape(-1, 4)
-        for r in rows:
-            if r is None:
-                out.append(dict.fromkeys(_NUMBERS, 0) | {"groups_sha256": "", "rare": []})
-                continue
-            numbers = [*sums[r].sum(axis=0).tolist(), *scores.sums[r].sum(axis=0).tolist()]
-            known = r.tolist()
-            digest = hashlib.sha256(b";".join(map(book.texts.__getitem__, known))).hexdigest()
-            rare = Counter(key for k in known for key in scores.rare.get(k, ())) if scores.rare else {}
-            out.append(dict(zip(_NUMBERS, numbers)) | {"groups_sha256": digest, "rare": [{"key": k, "times": n} for k, n in rare.items()]})
-        sums = None  # else the array that it shows cannot grow
-    return out
+def _documents_kind() -> pa.DataType:
+    lists = [(n, pa.list_(pa.int64())) for n in ("keys", "times")]
+    return pa.struct([*((n, pa.int64()) for n in _NUMBERS), ("groups_sha256", pa.string()), *lists])
 
 
-def pair_counts(texts: DataFrame, path_a: str, path_b: str) -> tuple[np.ndarray, DataFrame]:
-    """Links along the identity array by first id, and all pairs: a, b, how many links hold the pair, is it b's best.
+def all_pairs(met: DataFrame, same: np.ndarray) -> DataFrame:
+    """a, b, how many links hold the pair, is it b's best; ``met`` has the tasks' counts.
 
-    ``texts`` has one column. The vector comes from each task's own, added up; only links of
-    irregular groups are shuffled by pair, one row a task and pair.
+    The vector comes from each task's own, added up; only links of irregular groups are shuffled
+    by pair, one row a task and pair.
     """
-    spark = texts.sparkSession
-    books = ("align", path_a, path_b)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = held(books, lambda: Book(Aligner(path_a, path_b)))
-        seen = np.zeros(len(book.texts), np.int64)
-        for texts in slices(batch.column(0) for batch in batches):
-            for rows in book.read(texts):
-                met = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
-                seen = np.bincount(met, minlength=len(book.texts)) + np.pad(seen, (0, len(book.texts) - len(seen)))
-                if book.full():
-                    yield _counts(book, seen)
-                    book.clear()
-                    seen = np.zeros(0, np.int64)
-        if seen.any():
-            yield _counts(book, seen)
-
-    met = stage(texts.mapInArrow(count, "a int, b int, n long"), "links")
-    same = Aligner(path_a, path_b).same
-    vector = np.zeros(len(same), np.int64)
-    for r in met.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
-        vector[r["a"]] = r["n"]
-    ids = np.flatnonzero(vector)
-    along = [(int(k), int(same[k]), int(vector[k])) for k in ids]
+    spark = met.sparkSession
+    vector = met.filter("b is null").groupBy("a").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    along = [(r["a"], int(same[r["a"]]), r["n"]) for r in vector]
     pairs = met.filter("b is not null").union(spark.createDataFrame(along, "a int, b int, n long"))
     pairs = stage(pairs.groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     top = F.broadcast(pairs.groupBy("b").agg(F.max("n").alias("top")))  # at most the other vocabulary
-    return vector, pairs.join(top, "b").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
+    return pairs.join(top, "b").select("a", "b", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def _tables(pairs: DataFrame, same: np.ndarray, size: int) -> tuple[tuple, DataFrame | None]:
-    """Vectors over the first vocabulary, at most ``size`` other pairs, the most frequent, and the pairs left over."""
-    spark = pairs.sparkSession
-    along = spark.createDataFrame([(k, int(b)) for k, b in enumerate(same.tolist()) if b >= 0], "a int, b int")
-    straight = pairs.join(F.broadcast(along), ["a", "b"]).toArrow()
-    n_same, best_same = np.zeros(len(same), np.int64), np.zeros(len(same), np.int64)
-    ids = straight["a"].to_numpy()
-    n_same[ids], best_same[ids] = straight["n"].to_numpy(), straight["best"].to_numpy().astype(np.int64)
+def _table(pairs: DataFrame, width: int, size: int) -> tuple[tuple, DataFrame | None]:
+    """At most ``size`` pairs, the most frequent, as sorted keys, counts and marks; and the pairs left over."""
     level = F.floor(F.log2("n") * 4).cast("int")
     total, cut = 0, None
     for r in pairs.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 4 x 64 levels
@@ -321,12 +328,33 @@ def _tables(pairs: DataFrame, same: np.ndarray, size: int) -> tuple[tuple, DataF
             break
         cut = r["level"]
     kept = pairs.filter(level >= cut) if cut is not None else pairs.limit(0)
-    kept = kept.select(F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("key"), "n", "best").toArrow()
-    keys = kept["key"].to_numpy()
-    order = np.argsort(keys)
-    tables = n_same, best_same, keys[order], kept["n"].to_numpy()[order], kept["best"].to_numpy()[order].astype(np.int64)
-    rest = None if total <= size else pairs if cut is None else pairs.filter(level < cut)
-    return tables, rest
+    kept = kept.select((F.col("a").cast("long") * width + F.col("b")).alias("key"), "n", "best").toArrow()
+    order = np.argsort(kept["key"].to_numpy())
+    table = tuple(kept[c].to_numpy()[order].astype(np.int64) for c in ("key", "n", "best"))
+    return table, None if total <= size else pairs if cut is None else pairs.filter(level < cut)
+
+
+_SCORE = pa.struct(
+    [("n_best", pa.int64()), ("count_sum", pa.int64())]
+    + [("rare", pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())])))]
+)
+
+
+def _score(links: pa.StructArray, table: tuple) -> pa.Array:
+    """Of documents' links: how many are of a best pair, the sum of their pairs' counts, those not in the table."""
+    known, n, best = table
+    sizes = np.array(links.field("keys").value_lengths().fill_null(0), np.int64)
+    keys, times = (np.array(links.field(f).flatten(), np.int64) for f in ("keys", "times"))
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    there = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+    sums = np.zeros((len(sizes), 2), np.int64)
+    hit = at[there]
+    np.add.at(sums, doc[there], np.column_stack([best[hit] * times[there], n[hit] * times[there]]))
+    rare: list[list] = [[] for _ in sizes]
+    for d, k, x in zip(doc[~there].tolist(), keys[~there].tolist(), times[~there].tolist()):
+        rare[d].append({"key": k, "times": x})
+    return pa.StructArray.from_arrays([pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(rare, _SCORE[2].type)], fields=list(_SCORE))
 
 
 def aligned(
@@ -353,38 +381,39 @@ def aligned(
     """
     spark = docs.sparkSession
     aligner = Aligner(path_a, path_b)
-    books, query = ("align", path_a, path_b), uuid.uuid4().hex
-    _, pairs = pair_counts(docs.select(F.col(text)), path_a, path_b)
-    tables, rest = _tables(pairs, aligner.same, table_size)
-    shared = spark.sparkContext.broadcast(tables)
+    keep = tuple(k for k in keep if k.lower() != out.lower())
+    made, pair, row, scored = (spare_name(docs, f"__{n}") for n in ("aligned", "pair", "row", "scored"))
+    both = stage(align_documents(docs, path_a, path_b, text, keep, made, pair), "aligned")
+    width = len(aligner.bytes_b)
+    pairs = all_pairs(both.filter(F.col(pair).isNotNull()).select(f"{pair}.*"), aligner.same)
+    table, rest = _table(pairs, width, table_size)
+    shared = spark.sparkContext.broadcast(table)
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        book = held(books, lambda: Book(Aligner(path_a, path_b)))
-        if book.query != query:
-            book.query, book.scores = query, Scores(shared.value)
-        for texts in slices(batches):
-            found = _score(book, book.scores, texts)
-            if book.full():
-                book.clear()
-            yield pa.array(found, _RESULT)
+        for links in batches:
+            yield _score(links, shared.value)
 
-    keep = tuple(k for k in keep if k.lower() != out.lower())
-    made = spare_name(docs, "__aligned")
-    done = docs.select(*keep, F.arrow_udf(score, f"struct<{_KIND}>")(F.col(text)).alias(made))
-    numbers = [F.col(made)[n].alias(n) for n in _NUMBERS]
-    if rest is None:
-        return done.select(*keep, F.struct(*numbers, F.col(made)["groups_sha256"].alias("groups_sha256")).alias(out))
-    row = spare_name(docs, "__row")
-    done = stage(done.withColumn(row, F.monotonically_increasing_id()), "aligned")
-    links = done.select(F.col(row).alias("row"), F.explode(F.col(made)["rare"]).alias("link")).select(
-        "row", F.shiftright("link.key", 32).cast("int").alias("a"), F.col("link.key").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "link.times"
+    kind = "struct<n_best:long,count_sum:long,rare:array<struct<key:long,times:long>>>"
+    m = F.col(made)
+    done = both.filter(F.col(pair).isNull()).withColumn(
+        scored, F.arrow_udf(score, kind)(F.struct(m["keys"].alias("keys"), m["times"].alias("times")))
     )
+    s = F.col(scored)
+    numbers = [m[n].alias(n) for n in _NUMBERS]
+    digest = m["groups_sha256"].alias("groups_sha256")
+    if rest is None:
+        return done.select(*keep, F.struct(*numbers, s["n_best"].alias("n_best"), s["count_sum"].alias("count_sum"), digest).alias(out))
+    done = stage(done.select(*keep, F.struct(*numbers, digest).alias(made), scored, F.monotonically_increasing_id().alias(row)), "scored")
+    links = done.select(F.col(row).alias("row"), F.explode(s["rare"]).alias("link"))
+    a = F.floor(F.col("link.key") / width).cast("int")
+    links = links.select("row", a.alias("a"), (F.col("link.key") % width).cast("int").alias("b"), "link.times")
     more = (
         links.join(rest, ["a", "b"])
-        .groupBy("row")
+        .groupBy(F.col("row").alias(row))
         .agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("n") * F.col("times")).alias("more"))
     )
-    added = {"n_best": F.coalesce("more_best", F.lit(0)), "count_sum": F.coalesce("more", F.lit(0))}
-    joined = done.join(more.withColumnRenamed("row", row), row, "left")
-    numbers = [(F.col(made)[n] + added[n] if n in added else F.col(made)[n]).alias(n) for n in _NUMBERS]
-    return joined.select(*keep, F.struct(*numbers, F.col(made)["groups_sha256"].alias("groups_sha256")).alias(out))
+    more = more.select(row, F.struct("more_best", "more").alias(pair))
+    n_best = s["n_best"] + F.coalesce(F.col(pair)["more_best"], F.lit(0))
+    count_sum = s["count_sum"] + F.coalesce(F.col(pair)["more"], F.lit(0))
+    joined = done.join(more, row, "left")
+    return joined.select(*keep, F.struct(*numbers, n_best.alias("n_best"), count_sum.alias("count_sum"), digest).alias(out))
