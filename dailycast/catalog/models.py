@@ -259,16 +259,17 @@ def forecast_full(spark, root):
            from (select date, 'lag_1y' as variant, lag_1y_revenue as r, lag_1y_cogs as c from wide
                  union all
                  select date, 'monthday_mean', hist_monthday_revenue_mean, hist_monthday_cogs_mean
-                 from wide)""",
+                 from wide
+                 union all
+                 select date, 'month_mean', hist_month_revenue_mean, hist_month_cogs_mean from wide)""",
         BASE_SQL,
     ),
 )
 def snk_forecast(spark, root):
-    """Two base forecasts as variants: constrained, formatted, written and read back."""
+    """The base forecasts as variants: constrained, formatted, written and read back."""
     wide = base_wide(spark, root)
     out = None
-    for name in ("lag_1y", "monthday_mean"):
-        revenue, cogs = MODELS[name]
+    for name, (revenue, cogs) in MODELS.items():
         rows = wide.select("date", F.col(revenue).alias("revenue"), F.col(cogs).alias("cogs"))
         part = stack.format_forecast(stack.constrain(rows)).withColumn("variant", F.lit(name))
         out = part if out is None else out.unionByName(part)
