@@ -67,15 +67,17 @@ def _huge(x: str) -> str:
 def _value(digits: list[str], huge: str) -> str:
     """SQL for the double that sums of digits make, whatever they have grown to.
 
-    Carries go up until each digit is balanced again; then the lowest come first into a double,
-    so that only the last addition rounds.
+    Carries go up until each digit is balanced again; then the digits are added from the lowest
+    on, with what each addition rounds away kept beside, so that the result is rounded once.
     """
     sums = ", ".join(f"cast({d} as decimal(38, 0))" for d in [*digits, "0", "0", "0"])
     carry = f"cast(floor((t + a.c + {BASE // 2}) / {BASE}) as decimal(38, 0))"
-    step = f"named_struct('c', {carry}, 'v', a.v / {BASE}D + cast(t + a.c - {carry} * {BASE} as double))"
-    start = "named_struct('c', cast(0 as decimal(38, 0)), 'v', 0D)"
+    digit = f"cast(t + a.c - {carry} * {BASE} as double)"
+    lost = f"(a.v / {BASE}D - (({digit} + a.v / {BASE}D) - {digit}))"
+    step = f"named_struct('c', {carry}, 'v', {digit} + a.v / {BASE}D, 'e', {lost} + a.e / {BASE}D)"
+    start = "named_struct('c', cast(0 as decimal(38, 0)), 'v', 0D, 'e', 0D)"
     top = 2.0 ** (BITS * (DIGITS + 2 - BELOW))
-    return f"(aggregate(array({sums}), {start}, (a, t) -> {step}, a -> a.v * {top!r}D) + {huge})"
+    return f"(aggregate(array({sums}), {start}, (a, t) -> {step}, a -> (a.v + a.e) * {top!r}D) + {huge})"
 
 
 def part_columns(x: str, name: str) -> list[Column]:

@@ -81,7 +81,8 @@ def test_amounts_add_up_alike_in_any_grouping(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(4), rng.randrange(90), rng.uniform(-1, 1) * 10 ** rng.uniform(-14, 28)) for _ in range(3000)]
     rows += [(4, i, rng.choice([-1, 1]) * rng.uniform(0, 1e5)) for i in range(900)]
-    want = {k: math.fsum(x for j, _, x in rows if j == k) for k in range(5)}
+    rows += [(5 + i % 200, i, round(rng.uniform(0, 1e6), 2)) for i in range(4000)]  # sums just past a digit's reach
+    want = {k: math.fsum(x for j, _, x in rows if j == k) for k in range(205)}
     df = spark.createDataFrame(rows, "k int, part int, x double")
     once = df.groupBy("k").agg(numeric.money_sum("x").alias("x"))
     parts = df.repartition(5, "part").select("k", "part", *numeric.part_columns("x", "p"))
