@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import METRICS, SPLIT, TRAIN_FACTS, msum, with_ctes
 from dailycast.functions.numeric import parts_value
-from dailycast.operators import annual, growth
+from dailycast.operators import annual, growth, quantiles
 from dailycast.operators.attach import heavy_left_join
 from dailycast.sources import retail
 from dailycast.sources.staging import stage
@@ -265,3 +265,33 @@ def split(spark, root, keys=None):
         daily.filter(F.col("date") < cut),
         daily.filter(F.col("date") >= cut).drop("revenue", "cogs"),
     )
+
+
+_LINES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(
+    "agg_line_medians",
+    "select " + ", ".join(f"round(median({c}), 6) as {c}" for c in _LINES) + " from lineitem",
+)
+def agg_line_medians(spark, root):
+    """Exact medians over all lines, whose distinct values grow with the table."""
+    found = quantiles.exact_medians(retail.table(spark, root, "lineitem"), _LINES)
+    return found.select(*[F.round(c, 6).alias(c) for c in _LINES])
+
+
+_SHARES = (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+
+
+@query(
+    "agg_line_quantiles",
+    " union all ".join(
+        f"select {s}::double as share, "
+        + ", ".join(f"round(quantile_cont({c}, {s}), 6) as {c}" for c in _LINES)
+        + " from lineitem"
+        for s in _SHARES
+    ),
+)
+def agg_line_quantiles(spark, root):
+    found = quantiles.exact_quantiles(retail.table(spark, root, "lineitem"), _LINES, _SHARES)
+    return found.select("share", *[F.round(c, 6).alias(c) for c in _LINES])
