@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dailycast.functions.metrics import MAPE_EPS
 from dailycast.operators import trees
+from dailycast.sources.ledger import Ledger
 from dailycast.sources.staging import run_together, stage, stage_path
 
 #: Rounds fitted between two looks at the validation error.
@@ -35,11 +36,22 @@ class Run:
     margins: DataFrame  # keys…, margin
     saved: list[trees.Saved] = field(default_factory=list)
     errors: list[float] = field(default_factory=list)
+    at: list[str] | None = None  # the table of margins and its column, where a later run finds them
 
     @property
     def rounds(self) -> int:
         return len(self.saved)
 
+    def entry(self) -> dict:
+        """What a ledger keeps of the run: its numbers, and where its files lie."""
+        return {"base": self.base, "at": self.at, "saved": [[s.path, s.weights] for s in self.saved], "errors": self.errors}
+
+
+def from_entry(spark: SparkSession, entry: dict, keys: Sequence[str]) -> Run:
+    path, column = entry["at"]
+    margins = spark.read.parquet(path).select(*keys, F.col(column).alias("margin"))
+    return Run(entry["base"], margins, [trees.Saved(*s) for s in entry["saved"]], entry["errors"], entry["at"])
+
 
 def in_bag(keys: Sequence[str], spec: trees.TreeSpec, round_: int) -> Column:
     """Whether a row is drawn: by its keys, the seed and the bag, which is kept for ``bag_rounds`` rounds."""
@@ -74,8 +86,9 @@ def start(rows: DataFrame, label: str, fold: int, keys: Sequence[str]) -> Run:
 
 
 def go_on(
-    run: Run, rows: DataFrame, label: str, spec: trees.TreeSpec, fold: int, keys: Sequence[str], rounds: int = BLOCK
-) -> Run:
+    run: Run, rows: DataFrame, label: str, spec: trees.TreeSpec, fold: int, keys: Sequence[str], rounds: int = BLOCK,
+    ledger: Ledger | None = None,
+) -> Run:
     """``rounds`` more rounds on what the trees so far leave over; rows of ``fold`` are only watched.
 
     ``rows`` carries ``keys``, which tell its rows apart, ``fold``, ``features`` and ``label``.
@@ -99,15 +112,21 @@ def go_on(
             value = F.element_at(F.array(*map(F.lit, values)), leaf + 1)
         now = now.withColumn(f"_margin_{k + 1}", F.col(f"_margin_{k}") + F.lit(spec.step) * value).drop("_leaf", "_tree", "_residual")
     margins = [f"_margin_{k}" for k in range(1, rounds + 1)]
-    done = stage(now.select(*keys, "fold", "_y", *margins), "margins")
+    spark = rows.sparkSession
+    place = ledger.place if ledger else lambda name: stage_path(spark, name)
+    at = [place("margins"), margins[-1]]
+    fresh = now.select(*keys, "fold", "_y", *margins)
+    fresh.write.parquet(at[0])
+    done = spark.read.schema(fresh.schema).parquet(at[0])
     off = [F.avg(F.abs(F.col("_y") - F.col(m)) / (F.abs("_y") + MAPE_EPS)) for m in margins]
     errors = list(done.filter(F.col("fold") == fold).agg(*off).first())
     saved = []
     for model in models:
-        path = stage_path(rows.sparkSession, "model")
+        path = place("model")
         model.write().save(path)
         saved.append(trees.Saved(path, [spec.step]))
-    return Run(run.base, done.select(*keys, F.col(margins[-1]).alias("margin")), run.saved + saved, run.errors + errors)
+    margin = done.select(*keys, F.col(margins[-1]).alias("margin"))
+    return Run(run.base, margin, run.saved + saved, run.errors + errors, at)
 
 
 def stop_round(errors: Sequence[float], patience: int) -> tuple[int, int, bool]:
@@ -121,16 +140,26 @@ def stop_round(errors: Sequence[float], patience: int) -> tuple[int, int, bool]:
     return best + 1, len(errors), False
 
 
-def fit_cell(rows: DataFrame, cell: trees.Cell, keys: Sequence[str], block: int = BLOCK) -> tuple[Run, int]:
-    """Boost until the watched error stops improving; the run and how many of its rounds count."""
+def fit_cell(
+    rows: DataFrame, cell: trees.Cell, keys: Sequence[str], block: int = BLOCK, ledger: Ledger | None = None
+) -> tuple[Run, int]:
+    """Boost until the watched error stops improving; the run and how many of its rounds count.
+
+    With a ledger every finished block is an entry, and an earlier run's last one is where this
+    one begins.
+    """
     spec = cell.spec
     seen = rows.filter(F.col("fold") <= cell.fold)
-    run = start(seen, cell.label, cell.fold, keys)
+    begun = ledger.recall(cell.name) if ledger else None
+    run = from_entry(rows.sparkSession, begun, keys) if begun else start(seen, cell.label, cell.fold, keys)
     while True:
-        run = go_on(run, seen, cell.label, spec, cell.fold, keys, min(block, spec.max_rounds - run.rounds))
-        best, stop, stopped = stop_round(run.errors, spec.patience or spec.max_rounds)
-        if stopped or run.rounds >= spec.max_rounds:
-            return run, best if spec.keep_best and spec.patience else stop
+        if run.rounds:
+            best, stop, stopped = stop_round(run.errors, spec.patience or spec.max_rounds)
+            if stopped or run.rounds >= spec.max_rounds:
+                return run, best if spec.keep_best and spec.patience else stop
+        run = go_on(run, seen, cell.label, spec, cell.fold, keys, min(block, spec.max_rounds - run.rounds), ledger)
+        if ledger:
+            ledger.record(cell.name, run.entry())
 
 
 def with_base(run: Run, single: Sequence[trees.Ensemble], spec: trees.TreeSpec) -> trees.Ensemble:
@@ -160,15 +189,25 @@ def load_all(spark: SparkSession, runs: dict[str, tuple[Run, trees.TreeSpec, int
 
 
 def fit_cells(
-    train: DataFrame, cells: Sequence[trees.Cell], keys: Sequence[str] = (), workers: int = 8
+    train: DataFrame, cells: Sequence[trees.Cell], keys: Sequence[str] = (), workers: int = 8, ledger: Ledger | None = None
 ) -> dict[str, tuple[trees.Ensemble, int]]:
-    """Fit every cell, a bounded number at once: forests whole, boosted ones until their fold stops improving."""
+    """Fit every cell, a bounded number at once: forests whole, boosted ones until their fold stops improving.
+
+    What ``ledger`` has of an earlier run over the same rows is not fitted again.
+    """
     spark, on = train.sparkSession, [*keys, "date"]
 
     def one(c: trees.Cell):
-        if c.spec.kind == "forest":
-            return trees.save(trees.fit(train.filter(F.col("fold") < c.fold), c.label, c.spec))
-        return fit_cell(train, c, on)
+        if c.spec.kind != "forest":
+            return fit_cell(train, c, on, ledger=ledger)
+        past = train.filter(F.col("fold") < c.fold)
+        if not ledger:
+            return trees.save(trees.fit(past, c.label, c.spec))
+        done = ledger.recall(c.name)
+        if done is None:
+            saved = trees.save(trees.fit(past, c.label, c.spec), ledger.place("model"))
+            done = ledger.record(c.name, {"path": saved.path, "weights": saved.weights})
+        return trees.Saved(done["path"], done["weights"])
 
     fitted = dict(zip([c.name for c in cells], run_together(spark, [lambda c=c: one(c) for c in cells], workers)))
     forests = {c.name: fitted[c.name] for c in cells if c.spec.kind == "forest"}

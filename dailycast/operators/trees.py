@@ -98,8 +98,8 @@ class Saved:
     weights: list[float]
 
 
-def save(model) -> Saved:
-    path = stage_path(SparkSession.active(), "model")
+def save(model, path: str | None = None) -> Saved:
+    path = path or stage_path(SparkSession.active(), "model")
     model.write().save(path)
     return Saved(path, _weights(model))
 

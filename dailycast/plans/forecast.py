@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.functions.numeric import log_target, unlog
 from dailycast.operators import boosting, folds, impute, linear, scoring, stack, trees
+from dailycast.sources.ledger import Ledger, fingerprint
 from dailycast.sources.staging import run_together, stage
 from dailycast.sources.tables import align_columns
 
@@ -93,6 +94,16 @@ def build_matrix(
     return Matrix(vectors.persist(), ahead, columns, size["n"], tuple(keys))
 
 
+def begin(matrix: Matrix, config, folder: str) -> Ledger:
+    """The ledger of a run over these rows with these settings."""
+    ledger = Ledger(matrix.train.sparkSession, folder)
+    settings = {k: v for k, v in asdict(config).items() if k != "workers"}
+    labels = [f"log_{t}" for t in TARGETS]
+    rows = fingerprint(matrix.train.select(*matrix.keys, "date", "fold", *labels, *matrix.columns))
+    ledger.belongs_to("run", {"settings": settings, "columns": matrix.columns, **rows})
+    return ledger
+
+
 @dataclass(frozen=True)
 class CvResult:
     """Long prediction tables and the rounds each boosted model used."""
@@ -102,13 +113,18 @@ class CvResult:
     rounds: list[tuple[int, str, str, int]]
 
 
-def run_cv(matrix: Matrix, config: ForecastConfig) -> CvResult:
+def run_cv(matrix: Matrix, config: ForecastConfig, folder: str | None = None) -> CvResult:
     """Fit every fold, model and target; predict validation rows and the horizon.
 
     The fits are independent Spark jobs, so a bounded number run at once. Each
     fold's models then score their rows together in one pass.
+
+    ``folder``, a shared one of its own, makes the run restartable: finished forests and blocks
+    of boosting are kept there, and a later run over the same rows with the same settings fits
+    only what is missing. Other rows or settings are refused.
     """
     spark = matrix.train.sparkSession
+    ledger = begin(matrix, config, folder) if folder else None
     folds_ = range(1, config.n_splits + 1)
     cells = {
         (k, spec.name, t): trees.Cell(f"{k}_{spec.name}_{t}", k, f"log_{t}", spec)
@@ -116,7 +132,7 @@ def run_cv(matrix: Matrix, config: ForecastConfig) -> CvResult:
         for spec in config.specs
         for t in TARGETS
     }
-    fitted = boosting.fit_cells(matrix.train, list(cells.values()), matrix.keys, config.workers)
+    fitted = boosting.fit_cells(matrix.train, list(cells.values()), matrix.keys, config.workers, ledger)
     used = [(*key, fitted[c.name][1]) for key, c in cells.items()]
 
     names = {s.name: tuple(f"{s.name}_{t}" for t in TARGETS) for s in config.specs}
@@ -180,10 +196,12 @@ def stack_inputs(matrix: Matrix, cv: CvResult, config: ForecastConfig):
     return train, stage(ahead, "stack_horizon"), models
 
 
-def run_forecast(matrix: Matrix, config: ForecastConfig = ForecastConfig()) -> Forecast:
-    """Cross-validate, stack, correct residuals, choose a variant."""
+def run_forecast(
+    matrix: Matrix, config: ForecastConfig = ForecastConfig(), folder: str | None = None
+) -> Forecast:
+    """Cross-validate, stack, correct residuals, choose a variant; see ``run_cv`` for ``folder``."""
     spark, keys = matrix.train.sparkSession, list(matrix.keys)
-    cv = run_cv(matrix, config)
+    cv = run_cv(matrix, config, folder)
     train, ahead, models = stack_inputs(matrix, cv, config)
 
     fits = stack.fit_stack(train, models, config.meta_spec())

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dailycast.operators import attribution, ranking, trees
+from dailycast.sources.ledger import Ledger, fingerprint
 from dailycast.sources.staging import run_together, stage
 
 TARGETS = ("revenue", "cogs")
@@ -46,13 +47,32 @@ def native_scores(spark, model, nodes: DataFrame, spec: trees.TreeSpec, columns:
 
 
 def model_scores(
-    rows: DataFrame, columns: Sequence[str], config: ImportanceConfig
+    rows: DataFrame, columns: Sequence[str], config: ImportanceConfig, folder: str | None = None
 ) -> DataFrame:
-    """``source, feature, target, score`` for every model, target and kind of score."""
+    """``source, feature, target, score`` for every model, target and kind of score.
+
+    With a shared ``folder`` the scores of every finished model are kept there, and a later run
+    over the same rows with the same settings fits only the others.
+    """
     spark = rows.sparkSession
     columns = list(columns)
+    ledger = Ledger(spark, folder) if folder else None
+    if ledger:
+        settings = {k: v for k, v in asdict(config).items() if k != "workers"}
+        labels = [f"log_{t}" for t in TARGETS]
+        ledger.belongs_to("run", {"settings": settings, "columns": columns, **fingerprint(rows.select("date", *labels, *columns))})
 
     def one(spec: trees.TreeSpec, target: str) -> list[DataFrame]:
+        name = f"scores_{spec.name}_{target}"
+        if not ledger:
+            return scored(spec, target)
+        done = ledger.kept(name)
+        if done is None:
+            native, shap = scored(spec, target)
+            done = ledger.keep(name, native.unionByName(shap).coalesce(1))  # two rows a feature
+        return [done]
+
+    def scored(spec: trees.TreeSpec, target: str) -> list[DataFrame]:
         model = trees.fit(rows, f"log_{target}", spec)
         nodes = trees.node_table(spark, model)
         ensemble = trees.load_ensemble(nodes)
@@ -74,8 +94,8 @@ def model_scores(
 
 
 def run_importance(
-    rows: DataFrame, columns: Sequence[str], config: ImportanceConfig = ImportanceConfig()
+    rows: DataFrame, columns: Sequence[str], config: ImportanceConfig = ImportanceConfig(), folder: str | None = None
 ) -> DataFrame:
-    """Ranked table of every feature's normalised scores and their means."""
-    scores = ranking.average_targets(model_scores(rows, columns, config))
+    """Ranked table of every feature's normalised scores and their means; see ``model_scores`` for ``folder``."""
+    scores = ranking.average_targets(model_scores(rows, columns, config, folder))
     return ranking.ranked(ranking.combine(ranking.normalize(scores)), "overall_mean")
