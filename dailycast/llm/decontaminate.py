@@ -43,7 +43,7 @@ class TestSuffixes:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        ids, starts, owner, offset, length = [], [], [], [], []
+        ids, starts, owner, offset, length, ends = [], [], [], [], [], []
         self.names = [name for name, _ in items]
         at = 0
         for k, (_, text) in enumerate(items):
@@ -54,12 +54,27 @@ class TestSuffixes:
                 owner.append(k)
                 offset.append(j)
                 length.append(min(window, len(words)))
+                ends.append(at + len(words))
             at += len(words)
         self.ids = np.array(ids + [0] * window, np.int32)
         self.start, self.owner = np.array(starts, np.int64), np.array(owner, np.int64)
         self.offset, self.length = np.array(offset, np.int64), np.array(length, np.int64)
         self.widest = int(self.length.max()) if starts else 0
         self.least = int(self.length.min()) if starts else 0
+        #: One suffix of each distinct window, and every suffix's window by that number.
+        want = self.words(np.arange(len(starts)))
+        rows = np.ascontiguousarray(want).view(f"V{max(1, self.widest) * want.itemsize}").ravel()
+        _, self.first, self.window = np.unique(rows, return_index=True, return_inverse=True)
+        #: The item's words beside a suffix's window, -1 at its ends.
+        self.before = np.where(self.offset > 0, self.ids[self.start - 1], -1)
+        beyond = self.start + self.length
+        self.after = np.where(beyond < np.array(ends, np.int64), self.ids[np.minimum(beyond, len(self.ids) - 1)], -1)
+
+    def words(self, chosen: np.ndarray) -> np.ndarray:
+        """The windows of some suffixes, one a row; 0 beyond a short item's end."""
+        steps = np.arange(max(1, self.widest))
+        found = self.ids[np.minimum(self.start[chosen][:, None] + steps, len(self.ids) - 1)]
+        return np.where(steps < self.length[chosen][:, None], found, 0)
 
 
 def suffix_array(ids: np.ndarray, where: np.ndarray, depth: int) -> np.ndarray:
@@ -91,7 +106,7 @@ def _reaches(ids: np.ndarray, least: int) -> np.ndarray:
 def _bound(ids, array, tests, chosen, upper: bool) -> np.ndarray:
     """First place in the suffix array whose window is at least (``upper``: above) each suffix."""
     steps = np.arange(tests.widest)
-    want = tests.ids[np.minimum(tests.start[chosen][:, None] + steps, len(tests.ids) - 1)]
+    want = tests.words(chosen)
     inside = steps < tests.length[chosen][:, None]
     lo = np.zeros(len(chosen), np.int64)
     hi = np.full(len(chosen), len(array), np.int64)
@@ -110,11 +125,37 @@ def _bound(ids, array, tests, chosen, upper: bool) -> np.ndarray:
         hi[open_] = np.where(right, hi[open_], mid)
 
 
+def _ranges(low: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one range after another."""
+    return np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+
+
+def _run_ends(tests, beside: np.ndarray, window: np.ndarray, place: np.ndarray, word: np.ndarray):
+    """Pairs of a place and a suffix of its window whose words ``beside`` the window differ.
+
+    Those are where diagonals of equal words end, so nothing is listed twice: repeated words
+    give one pair a diagonal, not one a window. Sorted by item, diagonal and place.
+    """
+    key = (tests.window << 32) | (beside + 1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    low, high = (np.searchsorted(key, (window + i) << 32) for i in (0, 1))
+    same = (window << 32) | (word + 1)
+    cut = [np.searchsorted(key, same, side) for side in ("left", "right")]
+    counts = [cut[0] - low, high - cut[1]]
+    suffix = order[np.concatenate([_ranges(low, counts[0]), _ranges(cut[1], counts[1])])]
+    places = np.concatenate([np.repeat(place, n) for n in counts])
+    by = np.lexsort((places, places - tests.offset[suffix], tests.owner[suffix]))
+    return places[by], suffix[by]
+
+
 def shard_matches(ids: np.ndarray, tests: TestSuffixes):
     """Maximal verbatim matches of at least a window: position, item, item word, length.
 
     ``ids`` holds the documents' test-word numbers, 0 for other words and between documents.
-    The longest match of a test suffix that fills its window is the diagonal run it lies on.
+    Every distinct window is searched once. The longest match of a suffix that fills its window
+    is the diagonal of equal words it lies on; work and memory follow the number of places and
+    of diagonals, not that of pairs of equal windows.
     """
     none = np.zeros(0, np.int64)
     where = _reaches(ids, tests.least) if tests.widest else none
@@ -122,25 +163,21 @@ def shard_matches(ids: np.ndarray, tests: TestSuffixes):
         return none, none, none, none
     array = suffix_array(ids, where, tests.widest)
     padded = np.concatenate([ids, np.zeros(tests.widest + 1, ids.dtype)])
-    everything = np.arange(len(tests.start))
-    low = _bound(padded, array, tests, everything, upper=False)
+    low = _bound(padded, array, tests, tests.first, upper=False)
     near = padded[array[np.minimum(low, len(array) - 1)][:, None] + np.arange(tests.widest)]
-    want = tests.ids[np.minimum(tests.start[:, None] + np.arange(tests.widest), len(tests.ids) - 1)]
-    agree = ((near == want) | (np.arange(tests.widest) >= tests.length[:, None])).all(axis=1)
-    found = np.flatnonzero(agree & (low < len(array)))
-    if not len(found):
+    short = np.arange(tests.widest) >= tests.length[tests.first][:, None]
+    agree = ((near == tests.words(tests.first)) | short).all(axis=1)
+    window = np.flatnonzero(agree & (low < len(array)))
+    if not len(window):
         return none, none, none, none
-    times = _bound(padded, array, tests, found, upper=True) - low[found]
-    suffix = np.repeat(found, times)
-    place = array[np.repeat(low[found] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
-    item, offset = tests.owner[suffix], tests.offset[suffix]
-    order = np.lexsort((place, place - offset, item))
-    place, item, offset = place[order], item[order], offset[order]
-    width = tests.length[suffix[order]]
-    fresh = np.r_[True, (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (offset[1:] != offset[:-1] + 1)]
-    first = np.flatnonzero(fresh)
-    run = np.diff(np.r_[first, len(place)])
-    return place[first], item[first], offset[first], run - 1 + width[first]
+    times = _bound(padded, array, tests, tests.first[window], upper=True) - low[window]
+    place = array[_ranges(low[window], times)]
+    window = np.repeat(window, times)
+    width = tests.length[tests.first[window]]
+    left = np.where(place > 0, padded[place - 1], 0).astype(np.int64)
+    first, suffix = _run_ends(tests, tests.before, window, place, left)
+    last, at_end = _run_ends(tests, tests.after, window, place, padded[place + width].astype(np.int64))
+    return first, tests.owner[suffix], tests.offset[suffix], last - first + tests.length[at_end]
 
 
 def find_matches(texts: list[bytes], tests: TestSuffixes) -> tuple[list[int], list[list[dict]]]:

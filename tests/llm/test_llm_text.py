@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -19,6 +20,7 @@ from dailycast.llm import (
     best_fit,
     catalog,
     decontaminate,
+    labelled,
     line_runs,
     passage_quality,
     pivot_simhash,
@@ -152,6 +154,43 @@ def test_longest_matches_have_their_places(spark):
     assert got == {1: [(2, 1, 5)], 2: [(0, 3, 3), (3, 1, 3)]}
 
 
+def maximal(words, items, width):
+    """Every pair of places from which at least ``width`` words agree and the words before differ."""
+    for k, item in enumerate(items):
+        for i in range(len(words)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(words) and j + n < len(item) and words[i + n] == item[j + n]:
+                    n += 1
+                fresh = not i or not j or words[i - 1] != item[j - 1]
+                if fresh and n >= min(width, len(item)):
+                    yield i, k, j, n
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_matches_of_repetitive_words_are_the_maximal_ones(seed):
+    rng = np.random.default_rng(seed)
+    draw = lambda n: [b"ab"[i : i + 1] for i in rng.integers(0, 2, n)]
+    items = [draw(int(n)) for n in rng.integers(1, 12, 5)] + [[b"a"] * 9, [b"a", b"b"] * 5]
+    docs = [draw(25), [b"a"] * 14, [b"a", b"b"] * 8 + [b"c"] + [b"b", b"a"] * 3, []]
+    tests = decontaminate.TestSuffixes([(str(k), b" ".join(w)) for k, w in enumerate(items)], 4)
+    _, found = decontaminate.find_matches([b" ".join(d) for d in docs], tests)
+    for doc, got in zip(docs, found):
+        got = sorted((m["doc_word"], int(m["item_id"]), m["item_word"], m["length"]) for m in got)
+        assert got == sorted(maximal(doc, items, 4))
+
+
+def test_one_word_repeated_thousands_of_times():
+    """Matches follow the diagonals (22,000 of them), not the pairs of windows (40 million)."""
+    tests = decontaminate.TestSuffixes([("q", b"a " * 2_000)], 13)
+    tracemalloc.start()
+    counts, found = decontaminate.find_matches([b"a " * 20_000], tests)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == [20_000] and len(found[0]) == 20_000 + 2_000 - 2 * 13 + 1
+    assert max(m["length"] for m in found[0]) == 2_000 and peak < 100 << 20
+
+
 def test_decontamination_of_nothing(spark, awkward, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(awkward, none).filter("contamination.n_hit > 0").count() == 0
@@ -325,6 +364,15 @@ def test_classifiers_on_held_out_labels(spark, name, column, share):
     assert scored.count() == 1000 and scored.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(i % 2, f"text {i % 900}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (5, 1)], "doc_id long, label int")
+    seen = lambda texts, marks: f"{len(texts)} {len(set(texts))} {sum(map(len, texts))}".encode()
+    assert labelled.fit_on_sample(docs, labels, seen, 3).split()[:2] == [b"3", b"3"]
+    assert labelled.fit_on_sample(docs, labels, seen, 2000).split()[:2] == [b"900", b"900"]
+    assert int(labelled.fit_on_sample(docs, labels, seen, 2000, text_bytes=100).split()[2]) <= 100
+
+
 def test_classifiers_with_awkward_rows_and_few_labels(spark, awkward, nothing):
     kind = "doc_id long, label int"
     some = spark.createDataFrame([(0, 1), (None, 1), (3, None), (1, 0), (1, 0), (11, 1)], kind)
@@ -360,6 +408,13 @@ def test_attention_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2e-4, rel=2e-2)
 
 
+def test_passages_of_equal_score_are_told_apart_by_their_words():
+    scores = np.array([9.0, -30.0, 9.0, -30.0, 9.0])
+    one = toxic_segments.evidence(np.array([1, 0, 1, 0, 1]), scores, 1.0, 0.1)
+    three = toxic_segments.evidence(np.array([1, 0, 2, 0, 3]), scores, 1.0, 0.1)
+    assert len(one[0]) == len(three[0]) == 3 and three[1][2] == pytest.approx(np.log1p(3 * np.expm1(one[1][2])))
+
+
 def test_segments_are_the_maximal_ones():
     def brute(x, first=0):
         """The best segment, shortest first, then the same left and right of it."""
