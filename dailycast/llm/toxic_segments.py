@@ -86,21 +86,21 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, z - 1, r - q) for a, z, q, r in stack]
 
 
-def evidence(scores: np.ndarray, rate: float, factor: float):
+def evidence(marks: np.ndarray, scores: np.ndarray, rate: float, factor: float):
     """Significant segments with E-values, and the evidence of best and of all in nats.
 
-    A passage that comes again is found again but told once.
+    A passage that comes again, by the ``marks`` of its words, is found again but told once.
     """
     n = max(len(scores), 1)
     found = []
     best = 0.0
-    told: dict[float, float] = {}
+    told: dict[bytes, float] = {}
     for first, last, s in segments(scores):
         e = factor * n * np.exp(-rate * s)
         nats = -np.log(max(e, 1e-300))
         best = max(best, nats)
         if e <= E_VALUE:
-            told[round(s, 6)] = nats
+            told[marks[first : last + 1].tobytes()] = nats
             found.append((first, last, s, float(e)))
     return found, np.array([1.0, min(best, 40.0), np.log1p(sum(told.values()))])
 
@@ -161,7 +161,7 @@ def fit_model(texts: list[bytes], labels: list[int]) -> bytes:
         tops = np.array([max([s for *_, s in segments(x)], default=0.0) for x in background])
         sizes = np.array([len(x) for x in background], float)
         m["factor"] = float(len(tops) / (sizes * np.exp(-m["rate"] * tops)).sum())
-    x = np.array([evidence(s, m["rate"], m["factor"])[1] for s in scored])
+    x = np.array([evidence(some, s, m["rate"], m["factor"])[1] for some, s in zip(docs, scored)])
     m["weights"] = _logistic(x, y)
     return pickle.dumps(m)
 
@@ -221,7 +221,7 @@ def score_toxicity(
                 table.meet(words)
                 values = np.fromiter(map(table.__getitem__, words), np.float64, len(words))
                 marks = np.fromiter(map(hash, words), np.int64, len(words))
-                some, x = evidence(token_scores(marks, values), m["rate"], m["factor"])
+                some, x = evidence(marks, token_scores(marks, values), m["rate"], m["factor"])
                 scores.append(float(1 / (1 + np.exp(-np.clip(x @ m["weights"], -30, 30)))))
                 found.append([dict(zip(names, s)) for s in some])
             yield pa.StructArray.from_arrays(
