@@ -14,10 +14,13 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from dailycast.catalog.features import feature_set
+from dailycast.catalog.facts import split
 from dailycast.catalog.forecasts import BASE_SQL, MODELS, base_oof, base_wide
 from dailycast.catalog.registry import query
 from dailycast.catalog.sql import with_ctes
-from dailycast.operators import attribution, ranking, scoring, stack, trees
+from dailycast.functions.calendar import with_calendar
+from dailycast.operators import attribution, lags, ranking, scoring, seasonal, stack, trees
+from dailycast.operators.attach import attach_stats
 from dailycast.plans import forecast as fc
 from dailycast.plans import importance as imp
 from dailycast.sources import sinks
@@ -137,20 +140,17 @@ STACK_SQL = {
 }
 
 # Ridge on three columns has a closed form: the normal equations by Cramer's rule.
-RIDGE_SQL = with_ctes(
-    """select 'ridge' as meta_learner, target, unnest(['lag_1y', 'monthday_mean', 'month_mean',
-                                                       'intercept']) as model,
-              unnest([round(w1, 4), round(w2, 4), round(w3, 4),
-                      round(my - w1 * m1 - w2 * m2 - w3 * m3, 4)]) as weight
+SOLVED = """select target, unnest(['lag_1y', 'monthday_mean', 'month_mean', 'intercept']) as model,
+              unnest([w1, w2, w3, my - w1 * m1 - w2 * m2 - w3 * m3]) as weight
        from (select *,
                     (p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r)) / det as w1,
                     (a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c)) / det as w2,
                     (a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c)) / det as w3
              from (select *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) as det
-                   from sums))""",
-    {
-        **STACK_SQL,
-        "sums": """
+                   from sums))"""
+RIDGE_CTES = {
+    **STACK_SQL,
+    "sums": """
             select target, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
                    count(*) * var_pop(x1) + 1 as a, count(*) * covar_pop(x1, x2) as b,
                    count(*) * covar_pop(x1, x3) as c, count(*) * var_pop(x2) + 1 as d,
@@ -158,11 +158,13 @@ RIDGE_SQL = with_ctes(
                    count(*) * covar_pop(x1, y) as p, count(*) * covar_pop(x2, y) as q,
                    count(*) * covar_pop(x3, y) as r
             from st group by 1""",
-    },
+    "weights": SOLVED,
+}
+RIDGE_SQL = with_ctes(
+    "select 'ridge' as meta_learner, target, model, round(weight, 4) as weight from weights", RIDGE_CTES
 )
 
 
-
 def descent_sql(name: str, sweeps: int = 3000) -> str:
     """Coordinate descent on the covariances of three columns, one recursion step a sweep."""
     spec = stack.META[name]
@@ -217,6 +219,89 @@ def stack_forecast(spark, root):
     return stack.format_forecast(wide)
 
 
+def base_ahead(spark, root):
+    """Stack matrix of the base forecasts for the dates to come; no actuals."""
+    sales, ahead = split(spark, root)
+    rows = attach_stats(with_calendar(ahead), seasonal.monthday_means(sales), ["month", "day"])
+    rows = attach_stats(rows, seasonal.monthday_means_recent(sales), ["month", "day"])
+    rows = attach_stats(rows, seasonal.month_means(sales), ["month"])
+    rows = lags.fill_horizon_lag(lags.attach_lag(rows, sales))
+    # a day that no past year has, or a lag that both years lack, falls back on its month
+    rows = rows.withColumns(
+        {
+            c: F.coalesce(c, f"hist_month_{t}_mean")
+            for t in ("revenue", "cogs")
+            for c in (f"hist_monthday_{t}_mean", f"lag_1y_{t}")
+        }
+    )
+    return stage(
+        rows.select(
+            "date",
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(t).alias("target"), *[F.col(MODELS[m][i]).alias(m) for m in MODELS])
+                        for i, t in enumerate(("revenue", "cogs"))
+                    ]
+                )
+            ),
+        ),
+        "base_ahead",
+    )
+
+
+AHEAD_SQL = {
+    **RIDGE_CTES,
+    "hwide": """
+        select date, month, coalesce(m.hist_monthday_revenue_mean, o.hist_month_revenue_mean) as md_revenue,
+               coalesce(m.hist_monthday_cogs_mean, o.hist_month_cogs_mean) as md_cogs,
+               o.hist_month_revenue_mean as mo_revenue, o.hist_month_cogs_mean as mo_cogs,
+               coalesce(case when lag_1y_revenue is null then hist_monthday_revenue_mean_2y else lag_1y_revenue end,
+                        o.hist_month_revenue_mean) as lag_revenue,
+               coalesce(case when lag_1y_revenue is null then hist_monthday_cogs_mean_2y else lag_1y_cogs end,
+                        o.hist_month_cogs_mean) as lag_cogs
+        from hcalendar left join lags using (date) left join md m using (month, day)
+             left join md2 using (month, day) left join mo o using (month)""",
+    "stacked_ahead": """
+        select date, """
+    + ", ".join(
+        f"""(select sum(weight * case model when 'lag_1y' then lag_{t} when 'monthday_mean' then md_{t}
+                                            when 'month_mean' then mo_{t} else 1 end)
+             from weights where target = '{t}') as {t}"""
+        for t in ("revenue", "cogs")
+    )
+    + " from hwide",
+}
+
+
+@query(
+    "stack_horizon",
+    with_ctes(
+        """select date, round(greatest(revenue, 0), 2) as revenue,
+                  round(least(greatest(cogs, 0), 0.995::double * greatest(revenue, 0)), 2) as cogs
+           from stacked_ahead""",
+        AHEAD_SQL,
+    ),
+)
+def stack_horizon(spark, root):
+    """Ridge stack fitted on the history, for the dates to come."""
+    fits = stack.fit_stack(base_matrix(spark, root), list(MODELS), CONFIG.meta_spec("ridge"))
+    wide = stack.constrain(stack.to_wide(stack.predict_stack(base_ahead(spark, root), fits)))
+    return wide.select("date", F.round("revenue", 2).alias("revenue"), F.round("cogs", 2).alias("cogs"))
+
+
+@query("stack_residual_horizon")
+def stack_residual_horizon(spark, root):
+    """The stack of the dates to come, corrected by the residual layer over their features."""
+    rows, m = base_matrix(spark, root), matrix(spark, root)
+    fits = stack.fit_stack(rows, list(MODELS), CONFIG.meta_spec("ridge"))
+    stacked = stage(stack.predict_stack(rows, fits), "stacked")
+    residual = stack.fit_residual(stacked, m.train.select("date", *m.columns), m.columns)
+    ahead = stack.predict_stack(base_ahead(spark, root), fits)
+    moved = stack.predict_residual(ahead, m.horizon.select("date", *m.columns), residual)
+    return stack.constrain(stack.to_wide(moved)).select("date", "revenue", "cogs")
+
+
 @query("stack_residual")
 def stack_residual(spark, root):
     """Ridge stack corrected by the linear residual layer over the features."""

@@ -219,3 +219,16 @@ def test_sample_is_exact_and_repeatable(spark):
     assert a == b and len(set(a)) == 50
     assert ranking.sample_rows(df.limit(5), ["id"], 50).count() == 5
     assert a != sorted(r[0] for r in ranking.sample_rows(df, ["id"], 50, seed=7).collect())
+
+
+def test_residual_layer_reaches_the_horizon(spark):
+    """Every date to come has a forecast: whole, non-negative and below its margin cap."""
+    from dailycast.catalog import QUERIES
+    from dailycast.catalog.facts import split
+
+    root = "/root/testdata/sf0.001"
+    rows = QUERIES["stack_residual_horizon"](spark, root).collect()
+    dates = {r["date"] for r in split(spark, root)[1].collect()}
+    assert {r["date"] for r in rows} == dates and len(rows) == len(dates)
+    assert all(0 <= r["cogs"] <= 0.995 * r["revenue"] for r in rows)
+    assert any(r["revenue"] > 0 for r in rows)
