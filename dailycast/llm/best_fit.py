@@ -1,14 +1,16 @@
 """Best-fit packing in bulk-synchronous supersteps.
 
 Pieces are range-sorted by length and get a rank within it; gaps are kept sorted by size with
-ranks of their own. In a superstep every open piece looks for its successor, the smallest
-gap that still holds it. Sizes are whole numbers, so the sweep over both sorted tables runs
-over at most ``capacity`` (size, count) classes, and ranks settle who gets which gap:
-each row then finds its partner by its own rank, in a join. Gaps are updated,
-and the next superstep follows, until every piece has a place. A gap serves one length a
-superstep, as many pieces of it as best fit would put there.
+ranks of their own. In a superstep open pieces, longest first, look for their successor, the
+smallest gap that still holds them. Sizes are whole numbers, so the sweep over both sorted
+tables runs over (size, count) classes, at most ``capacity`` of each, and ranks settle who
+gets which gap: each row then finds its partner by its own rank, in a join. A superstep ends
+where a length would need gaps that it has changed; these are ranked anew and the next one
+goes on from there, until every piece has a place. So the sequences are as many as sequential
+best-fit decreasing would open, and a superstep reads only the pieces of its own lengths.
 """
 
+import bisect
 import re
 import uuid
 import zlib
@@ -23,6 +25,8 @@ from dailycast.llm.common import batch_texts, spare_name
 from dailycast.sources.staging import stage
 
 CAPACITY = 2048
+#: New sequences that one row unfolds into.
+CHUNK = 50_000
 #: Words whose ids a worker remembers, and the longest of them in bytes.
 CACHE_SIZE, WORD_BYTES = 400_000, 48
 
@@ -83,7 +87,7 @@ def token_pieces(text, tokenizer_path: str, capacity: int = CAPACITY, end_id: in
 
     ``ids`` holds little-endian 32-bit ids (null unless ``keep_ids``), ``ids_crc32`` their CRC.
     Null and empty texts are the end id alone. Cutting at white space is right for
-    tokenizers that drop it.
+    tokenizers that drop it. The column is computed row by row: repeated texts repeat their pieces.
     """
     key = (tokenizer_path, uuid.uuid4().hex)
     tail = np.array([end_id], "<u4").tobytes()
@@ -117,73 +121,95 @@ def token_pieces(text, tokenizer_path: str, capacity: int = CAPACITY, end_id: in
 class Sweep:
     """One superstep's decisions, from the counts of open pieces and gaps by size.
 
+    Lengths are swept downwards; each takes its successor, the smallest gap that holds it, as
+    often as the gap can, and opens sequences when no gap does. So a superstep places as
+    sequential best-fit decreasing would. It ends at a length whose successor is among gaps
+    that this superstep has changed in bulk: those must be sorted in anew first. A single
+    gap that is left part-filled goes on serving shorter lengths, as its place is known.
+
     ``fits``: pieces of a length, ranks low to high, go to gaps of a size from a rank on,
-    ``each`` to a gap. ``opens``: the same for new sequences. ``moves``: where gaps of a size,
-    ranks low to high, go on: their new size and first new rank.
+    ``each`` to a gap, from an offset on. ``opens``: the same for new sequences from a number on.
+    ``moves`` and ``made``: the new size and first new rank of gaps of a size, ranks low to
+    high, and of new sequences, numbers low to high; gaps too small for any piece are left out.
+    ``top`` and ``low``: the longest and shortest length placed.
     """
 
     def __init__(self, pieces: np.ndarray, placed: np.ndarray, gaps: np.ndarray, opened: int):
         self.left, self.placed, self.opened = pieces.copy(), placed.copy(), opened
+        self.capacity = len(gaps) - 1
         self.fits: list[tuple] = []
         self.opens: list[tuple] = []
-        self.moves: list[tuple] = []
-        self.gaps = np.zeros_like(gaps)
-        used = self._fit(gaps)
-        self._open(len(gaps) - 1)
-        made = [(s, low, high, new) for _, _, _, s, low, high, _, new in self.fits]
-        kept = [(s, int(used[s]), int(gaps[s]), s) for s in np.flatnonzero(gaps > used).tolist()]
-        for size, low, high, new in kept + made:
-            if new:
-                self.moves.append((size, low, high, new, int(self.gaps[new])))
-                self.gaps[new] += high - low
-        for i, (length, low, high, first, each, new) in enumerate(self.opens):
-            self.opens[i] += (int(self.gaps[new]) if new else 0,)
-            if new:
-                self.gaps[new] += -(-(high - low) // each)
-
-    def _take(self, length: int, n: int) -> tuple[int, int]:
+        # free size -> targets (size of the class or 0 for new sequences, low, high)
+        self.ready: dict[int, list[tuple]] = {s: [(s, 0, int(gaps[s]))] for s in np.flatnonzero(gaps).tolist()}
+        self.sizes = sorted(self.ready)
+        self.waiting: dict[int, list[tuple]] = {}
+        self.later: list[int] = []
+        lengths = np.flatnonzero(self.left)[::-1].tolist()
+        self.top = self.low = lengths[0] if lengths else 0
+        for length in lengths:
+            self.low = length
+            if not self._place(length):
+                break
+        self._settle(len(gaps))
+
+    def _place(self, length: int) -> bool:
+        """Place all pieces of a length; False if the sorted gaps must be brought up to date first."""
+        while n := int(self.left[length]):
+            at, due = bisect.bisect_left(self.sizes, length), bisect.bisect_left(self.later, length)
+            size = self.sizes[at] if at < len(self.sizes) else None
+            if due < len(self.later) and (size is None or self.later[due] < size):
+                return False
+            room = (size or self.capacity) // length
+            if size is None:
+                some = max(1, n // room)
+                target, free = (0, self.opened, self.opened + some), self.capacity
+                self.opened += some
+            else:
+                kind, low, high = self.ready[size].pop()
+                some, free = min(high - low, max(1, n // room)), size
+                target = (kind, low, low + some)
+                if low + some < high:
+                    self.ready[size].append((kind, low + some, high))
+                elif not self.ready[size]:
+                    del self.ready[size], self.sizes[at]
+            self._put(length, target, free, min(room, n))
+        return True
+
+    def _put(self, length: int, target: tuple, free: int, each: int) -> None:
+        kind, first, last = target
         low = int(self.placed[length])
-        self.placed[length] += n
-        self.left[length] -= n
-        return low, low + n
-
-    def _fit(self, gaps: np.ndarray) -> np.ndarray:
-        used = np.zeros_like(gaps)
-        stack: list[int] = []
-        for length in range(len(gaps) - 1, 0, -1):
-            if gaps[length]:
-                stack.append(length)
-            while self.left[length] and stack:
-                size = stack[-1]
-                room = size // length
-                count = min(int(gaps[size] - used[size]) * room, int(self.left[length]))
-                for each, some in ((room, count // room), (count % room, 1)):
-                    if each and some:
-                        low, high = self._take(length, each * some)
-                        at = int(used[size])
-                        self.fits.append((length, low, high, size, at, at + some, each, size - each * length))
-                        used[size] += some
-                if used[size] == gaps[size]:
-                    stack.pop()
-        return used
-
-    def _open(self, capacity: int) -> None:
-        """Pieces over half a sequence need their own; others only when no gap takes any."""
-        total = int((self.left * np.arange(capacity + 1)).sum())
-        wanted = 0 if self.fits else -(-total // capacity)
-        for length in range(capacity, 0, -1):
-            if 2 * length <= capacity and wanted <= 0:
-                return
-            room = capacity // length
-            n = int(self.left[length])
-            if 2 * length <= capacity:
-                n = min(n, wanted * room)
-            for each, some in ((room, n // room), (n % room, 1)):
-                if each and some:
-                    low, high = self._take(length, each * some)
-                    self.opens.append((length, low, high, self.opened, each, capacity - each * length))
-                    self.opened += some
-                    wanted -= some
+        high = low + each * (last - first)
+        self.placed[length] = high
+        self.left[length] -= high - low
+        base = self.capacity - free
+        if kind:
+            self.fits.append((length, low, high, kind, first, each, base))
+        else:
+            self.opens.append((length, low, high, first, each, base))
+        free -= each * length
+        if free:
+            held, sizes = (self.ready, self.sizes) if last - first == 1 else (self.waiting, self.later)
+            if free not in held:
+                held[free] = []
+                bisect.insort(sizes, free)
+            held[free].append(target)
+
+    def _settle(self, n: int) -> None:
+        """Ranks of the gaps of each size that are left for the next superstep."""
+        self.gaps = np.zeros(n, np.int64)
+        self.moves: list[tuple] = []
+        self.made: list[tuple] = []
+        open_lengths = np.flatnonzero(self.left)
+        shortest = int(open_lengths[0]) if len(open_lengths) else n
+        for held in (self.ready, self.waiting):
+            for free in sorted(held):
+                for kind, low, high in held[free] if free >= shortest else ():
+                    row = (low, high, free, int(self.gaps[free]))
+                    if kind:
+                        self.moves.append((kind, *row))
+                    else:
+                        self.made.append(row)
+                    self.gaps[free] += high - low
 
 
 def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -217,9 +243,10 @@ def _ranked(pieces: DataFrame, length: str, rank: str) -> tuple[DataFrame, list[
         first = seen.get(r["size"], 0)
         firsts.append((r["part"], r["size"], first - r["low"]))
         seen[r["size"]] = first + r["n"]
-    shift = _small(pieces.sparkSession, firsts, "__part long, __size long, __shift long")
-    found = ordered.join(shift, (part == F.col("__part")) & (F.col(length) == F.col("__size")))
-    found = found.withColumn(rank, F.col(at) + F.col("__shift")).drop("__part", "__size", "__shift", at)
+    where, size, by = (spare_name(pieces, f"__{c}") for c in ("part", "size", "shift"))
+    shift = _small(pieces.sparkSession, firsts, f"`{where}` long, `{size}` long, `{by}` long")
+    found = ordered.join(shift, (part == F.col(where)) & (F.col(length) == F.col(size)))
+    found = found.withColumn(rank, F.col(at) + F.col(by)).drop(where, size, by, at)
     return stage(found, "ranked_pieces"), sorted(seen.items())
 
 
@@ -232,11 +259,12 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with the sequence that each is packed into and its place there, both longs.
 
-    Sequences are numbered from 0 and filled without holes from offset 0. Every row is a
-    piece of its own, so ties and repeated rows each get a place; which of equal lengths
-    goes where follows their order in the table. Lengths must be 1 to ``capacity``, else a
+    Sequences are numbered from 0 and filled without holes from offset 0; they are as many as
+    best-fit decreasing opens one piece at a time. Every row is a piece of its own, so ties and
+    repeated rows each get a place; which of equal lengths goes where follows their order in
+    the table. Lengths must be 1 to ``capacity``, else a
     ValueError. An empty table gives an empty table with the two columns. Other columns
-    pass through; those named like the two are replaced.
+    pass through, whatever their names; those named like the two are replaced.
     """
     spark = pieces.sparkSession
     pieces = stage(pieces.drop(sequence, offset), "pieces")
@@ -244,85 +272,67 @@ def pack(
     if not bad.isEmpty():
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     rank = spare_name(pieces, "__rank")
-    columns = pieces.columns
     ranked, counts = _ranked(pieces, length, rank)
+    # the pieces travel as one column, so that no name of theirs meets a helper's
+    whole = ranked.select(
+        F.struct(*pieces.columns).alias("row"), F.col(length).cast("long").alias("length"), F.col(rank).alias("rank")
+    )
     left, placed, gap_counts = (np.zeros(capacity + 1, np.int64) for _ in range(3))
     for size, n in counts:
         left[size] = n
-    gaps = spark.createDataFrame([], "seq long, free long, place long")
+    gaps = None
     done: list[DataFrame] = []
     opened = 0
     while left.any():
         step = Sweep(left, placed, gap_counts, opened)
+        # pieces lie sorted by length: a superstep reads the files of its own lengths
+        mine = whole.filter(F.col("length").between(step.low, step.top))
+        nth = F.col("rank") - F.col("lo")
+        here = (F.col("length") == F.col("a")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+        place = F.col("first") + F.floor(nth / F.col("each")).cast("long")
+        begin = (F.col("base") + nth % F.col("each") * F.col("a")).alias("begin")
         results, next_gaps = [], []
-        mine = ranked.select(*columns, rank)
         if step.fits:
-            fits = _small(
-                spark,
-                [(a, lo, hi, s, q, e) for a, lo, hi, s, q, _, e, _ in step.fits],
-                "__a long, __lo long, __hi long, __size long, __q long, __each long",
-            )
-            went = mine.join(
-                fits, (F.col(length) == F.col("__a")) & (F.col(rank) >= F.col("__lo")) & (F.col(rank) < F.col("__hi"))
-            ).withColumn("__nth", F.col(rank) - F.col("__lo"))
-            went = went.withColumn("__place", F.col("__q") + F.floor(F.col("__nth") / F.col("__each")).cast("long"))
-            held = gaps.select("seq", F.col("free").alias("__free"), F.col("place").alias("__gap"))
-            went = went.join(held, (F.col("__size") == F.col("__free")) & (F.col("__place") == F.col("__gap")))
-            results.append(
-                went.select(
-                    *columns,
-                    F.col("seq").alias(sequence),
-                    (capacity - F.col("__size") + F.col("__nth") % F.col("__each") * F.col("__a")).alias(offset),
-                )
-            )
+            fits = _small(spark, step.fits, "a long, lo long, hi long, size long, first long, each long, base long")
+            went = mine.join(fits, here).select("row", "size", place.alias("place"), begin)
+            held = gaps.select("seq", F.col("free").alias("size"), "place")
+            results.append(went.join(held, ["size", "place"]).select("row", "seq", "begin"))
         if step.opens:
-            opens = _small(
-                spark,
-                [(a, lo, hi, first, e, new, at) for a, lo, hi, first, e, new, at in step.opens],
-                "__a long, __lo long, __hi long, __first long, __each long, __new long, __at long",
-            )
-            went = mine.join(
-                opens, (F.col(length) == F.col("__a")) & (F.col(rank) >= F.col("__lo")) & (F.col(rank) < F.col("__hi"))
-            ).withColumn("__nth", F.col(rank) - F.col("__lo"))
-            seq = F.col("__first") + F.floor(F.col("__nth") / F.col("__each")).cast("long")
-            results.append(
-                went.select(
-                    *columns, seq.alias(sequence), (F.col("__nth") % F.col("__each") * F.col("__a")).alias(offset)
-                )
-            )
-            next_gaps.append(
-                went.filter((F.col("__nth") % F.col("__each") == 0) & (F.col("__new") > 0)).select(
-                    seq.alias("seq"), F.col("__new").alias("free"), (F.col("__at") + seq - F.col("__first")).alias("place")
-                )
-            )
+            opens = _small(spark, step.opens, "a long, lo long, hi long, first long, each long, base long")
+            results.append(mine.join(opens, here).select("row", place.alias("seq"), begin))
         for rows in results:
             done.append(stage(rows, "placed_pieces"))
+        moved = (F.col("at") + F.col("place") - F.col("lo")).alias("place")
         if step.moves:
-            moves = _small(spark, step.moves, "__size long, __lo long, __hi long, __new long, __at long")
-            next_gaps.append(
-                gaps.join(
-                    moves,
-                    (F.col("free") == F.col("__size")) & (F.col("place") >= F.col("__lo")) & (F.col("place") < F.col("__hi")),
-                ).select("seq", F.col("__new").alias("free"), (F.col("__at") + F.col("place") - F.col("__lo")).alias("place"))
-            )
+            moves = _small(spark, step.moves, "size long, lo long, hi long, new long, at long")
+            inside = (F.col("free") == F.col("size")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))
+            next_gaps.append(gaps.join(moves, inside).select("seq", F.col("new").alias("free"), moved))
+        if step.made:
+            made = spark.createDataFrame([tuple(map(int, r)) for r in step.made], "lo long, hi long, new long, at long")
+            made = made.withColumn("from", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(CHUNK).cast("long")))).repartition("from")
+            upto = F.least(F.col("from") + CHUNK, "hi") - 1
+            made = made.withColumn("place", F.explode(F.sequence("from", upto)))
+            next_gaps.append(made.select(F.col("place").alias("seq"), F.col("new").alias("free"), moved))
         left, placed, gap_counts, opened = step.left, step.placed, step.gaps, step.opened
         if left.any() and next_gaps:
             gaps = next_gaps[0] if len(next_gaps) == 1 else next_gaps[0].union(next_gaps[1])
             gaps = stage(gaps, "gaps")
-        elif left.any():
-            gaps = spark.createDataFrame([], "seq long, free long, place long")
     if not done:
         empty = F.lit(None).cast("long")
         return pieces.withColumn(sequence, empty).withColumn(offset, empty)
     out = done[0]
     for part in done[1:]:
         out = out.union(part)
-    return out
+    return out.select("row.*", F.col("seq").alias(sequence), F.col("begin").alias(offset))
 
 
 def document_pieces(
     docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple = ("doc_id",), **options
 ) -> DataFrame:
-    """A row for each piece of each document: the columns ``keep`` and those of ``token_pieces``."""
+    """A row for each piece of each document: the columns ``keep`` and those of ``token_pieces``.
+
+    Every row counts as a document, repeated ones too; null and empty texts give one piece, the
+    end id; an empty table gives none. Columns not in ``keep`` are not looked at.
+    """
     cut = token_pieces(F.col(text), tokenizer_path, **options)
     return docs.select(*keep, F.explode(cut).alias("__piece")).select(*keep, "__piece.*")

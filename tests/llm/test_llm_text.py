@@ -1,5 +1,6 @@
 """Operators on whole texts against brute force, with awkward rows and empty tables."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -467,14 +468,77 @@ def test_pieces_are_the_library_s_and_packed_without_gaps(spark, awkward):
     check_packing(rows, 2048)
 
 
-def test_packing_is_close_to_the_bound(spark):
+def best_fit_decreasing(sizes, capacity):
+    """Sequences that best fit opens when pieces come one at a time, longest first."""
+    gaps, opened = [], 0
+    for n in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        free = gaps.pop(at) if at < len(gaps) else capacity
+        opened += free == capacity
+        if free > n:
+            bisect.insort(gaps, free - n)
+    return opened
+
+
+def swept(sizes, capacity):
+    """Sequences and supersteps of the sweeps alone."""
+    left = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
+    placed, gaps, opened, steps = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64), 0, 0
+    while left.any():
+        step = best_fit.Sweep(left, placed, gaps, opened)
+        assert not step.left[step.low + 1 :].any()  # what is longer than the band has a place
+        left, placed, gaps, opened, steps = step.left, step.placed, step.gaps, step.opened, steps + 1
+    return opened, steps
+
+
+def test_sweeps_open_as_many_sequences_as_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    mixes = [
+        rng.integers(500, 1100, 8000),
+        rng.integers(500, 800, 8000),
+        np.clip(rng.lognormal(5.5, 1, 8000), 1, 2048).astype(int),
+        rng.integers(1, 2049, 8000),
+        rng.integers(1, 60, 8000),
+        np.full(999, 700),
+    ]
+    for sizes in mixes:
+        opened, steps = swept(sizes, 2048)
+        assert opened <= 1.002 * best_fit_decreasing(sizes.tolist(), 2048) and steps <= 25
+
+
+def test_packing_opens_no_more_than_best_fit_whatever_columns_are_called(spark):
     rng = random.Random(8)
     sizes = [rng.randint(1, 100) for _ in range(500)] + [7] * 300 + [100] * 5 + [51] * 20
-    frame = spark.createDataFrame([(s, "x", 0) for s in sizes], "length int, __rank string, offset int")
+    names = ("__rank", "offset", "seq", "__nth", "row", "lo", "place", "__part", "__size", "__shift", "a")
+    schema = "length int, " + ", ".join(f"`{n}` int" for n in names)
+    frame = spark.createDataFrame([(s, *range(i, i + len(names))) for i, s in enumerate(sizes)], schema)
     out = best_fit.pack(frame, capacity=100)
-    rows = [(r["sequence_id"], r["offset"], r["length"]) for r in out.collect()]
-    assert Counter(r[2] for r in rows) == Counter(sizes)
-    assert check_packing(rows, 100) <= 1.03 * sum(sizes) / 100
+    assert sorted(out.columns) == sorted([*frame.columns, "sequence_id"])
+    rows = out.collect()
+    for r in rows:
+        assert r["length"] == sizes[r["__rank"]]
+        assert all(r[n] == r["__rank"] + i for i, n in enumerate(names) if n != "offset")
+    packed = [(r["sequence_id"], r["offset"], r["length"]) for r in rows]
+    assert Counter(r[2] for r in packed) == Counter(sizes)
+    assert check_packing(packed, 100) <= best_fit_decreasing(sizes, 100) + 1
+
+
+def test_op10_packing_holds_the_library_s_ids_of_every_document(spark):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    want, sizes = {}, []
+    for d in spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*t.encode(d["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            want[d["doc_id"], k // 2048] = (k, len(part), zlib.crc32(part.tobytes()))
+            sizes.append(len(part))
+    rows = catalog.op10_packing(spark, ROOT).collect()
+    assert len(rows) == len(want)
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    opened = check_packing([(r["sequence_id"], r["offset"], r["length"]) for r in rows], 2048)
+    assert opened <= best_fit_decreasing(sizes, 2048) + 1
 
 
 def test_packing_refuses_what_fits_nowhere_and_takes_nothing(spark):
