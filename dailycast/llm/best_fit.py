@@ -12,6 +12,7 @@ best-fit decreasing would open, and a superstep reads only the pieces of its own
 
 import bisect
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -58,15 +59,15 @@ class WordIds(dict):
         self.letters = _byte_letters()
 
     def _ids(self, word: bytes) -> bytes:
-        if _PLAIN.fullmatch(word):
-            letters = "".join([self.letters[b] for b in word.lower()])
+        if word.isalpha() or _PLAIN.fullmatch(word):
+            letters = word.lower().decode("latin-1").translate(self.letters)
             ids = [t.id for t in self.model.tokenize(letters)]
         else:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1] in _MARKS and _PLAIN.fullmatch(word[-2:-1]):
+        if len(word) > 1 and word[-1] in _MARKS and (word[-2:-1].isalpha() or _PLAIN.fullmatch(word[-3:-1])):
             return self[word[:-1]] + self[word[-1:]]
         value = self._ids(word)
         if len(word) <= WORD_BYTES:
