@@ -6,15 +6,17 @@ as long as the vocabulary. Links of all other groups are counted as pairs, in a
 only they enter. With the counts known, each document's distinct links are scored; they are
 written down beside it, so that no text is tokenized twice.
 
-Both tokenizers break before a single blank that stands between other characters, so texts are
-cut there, and a worker aligns each distinct piece once.
+Both tokenizers break before a single blank that stands between other characters, between a
+letter and a mark, and around a line end, so texts are cut there, and a worker aligns each
+distinct piece once. When it holds many, it keeps those that it met again.
 """
 
 import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,17 @@ TABLE_SIZE = 500_000
 
 #: A blank before which both tokenizers always break.
 _BREAK = re.compile(r"(?<! ) (?=\S)")
-#: A blank and letters, which byte-level pre-tokenizing takes as one, and a mark of its own.
-_PLAIN = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,99}([.,;:!?])?")
+#: White space beyond ASCII; texts with any are cut at ``_BREAK`` alone.
+_ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Letters and marks between which byte-level pre-tokenizing always breaks.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: What byte-level pre-tokenizing takes as one: letters, digits or marks, a blank before them; a line end.
+_PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){1,99}|[0-9]{1,99}|[!-&(-/:-@[-`{-~]{1,99})|\n")
+#: Bytes that no text has: one ends a piece, the other begins one that has no blank before it.
+_CUT, _JOINED = 0xFE, 0xFF
+#: A model without the blank put before a text: what follows a model file overrides it.
+_NO_PREFIX = b"\x1a\x02\x18\x00"
+_OTHER, _LETTER, _SECOND, _LATIN, _FAR, _MARK, _SPACE, _LINE, _BLANK = range(9)
 
 
 class Aligner:
@@ -53,7 +64,11 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        with open(path_b, "rb") as f:
+            model = f.read()
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model + _NO_PREFIX)
+        if self.b.encode(" a b") != sentencepiece.SentencePieceProcessor(model_proto=model).encode("a b"):
+            raise ValueError("the second tokenizer must put a blank before a text")
         shown, vocab = byte_letters(), spec["model"]["vocab"]
         byte = {c: k for k, c in enumerate(shown)}
         self.bytes_a = [b""] * self.a.get_vocab_size()
@@ -68,38 +83,70 @@ class Aligner:
         self.bytes_b = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)
         ]
+        self.kinds = self._kinds(pieces)
         ids: dict[bytes, int] = {}
         for k, raw in enumerate(self.bytes_b):  # whole pieces before single bytes
             if raw not in ids or self.b.is_byte(ids[raw]):
                 ids[raw] = k
         self.same = np.array([ids.get(raw, -1) for raw in self.bytes_a], np.int64)
         self.size_a, self.size_b = (np.array([len(x) for x in raw]) for raw in (self.bytes_a, self.bytes_b))
+        self.told = [b"%d|%d" % x for x in enumerate(self.same.tolist())]
+
+    @staticmethod
+    def _kinds(pieces: list[str]) -> bytes:
+        """The kind of every byte; marks and line ends that a piece of the second tokenizer goes on over are no such."""
+        kinds = np.full(256, _OTHER, np.uint8)
+        kinds[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+        kinds[[k for k in range(0x80, 0xC0) if k not in (0x97, 0xB7)]] = _SECOND  # of a letter, if behind the next kind
+        kinds[0xC3], kinds[[0xC2, 0xE1, 0xE2, 0xE3]] = _LATIN, _FAR
+        over = set("".join(re.findall(f"(?<=[{_LETTERS}])[{re.escape(_MARKS)}]", "\n".join(pieces))))
+        kinds[[ord(m) for m in _MARKS if m not in over]] = _MARK
+        kinds[[*range(0x09, 0x0E), *range(0x1C, 0x20)]] = _SPACE
+        kinds[0x0A] = _SPACE if any("\n" in p for p in pieces) else _LINE
+        kinds[0x20] = _BLANK
+        return kinds.tobytes()
+
+    def cut(self, text: str) -> list[bytes]:
+        """The pieces of a blank and a text: without their first blank, or with a byte that says there is none."""
+        raw = text.encode()
+        kind = np.frombuffer((b" " + raw).translate(self.kinds), np.uint8)
+        if (kind == _FAR).any() and _ODD_SPACE.search(text):
+            head, *rest = _BREAK.split(" " + text)
+            return [x.encode() for x in ([head[1:]] if head else []) + rest]
+        space, line, blank = kind >= _SPACE, kind == _LINE, kind == _BLANK
+        letter = kind == _LETTER
+        letter[1:] |= (kind[1:] == _SECOND) & (kind[:-1] == _LATIN)
+        alone = line[1:] & ~space[:-1]  # what comes before it is no white space
+        joined = alone | (kind[1:] == _MARK) & letter[:-1]
+        joined[1:] |= alone[:-1] & ~space[2:]
+        ends = blank[1:].copy()
+        ends[-1:] = False
+        ends[:-1] &= ~blank[:-2] & ~space[2:]
+        out = np.frombuffer(raw, np.uint8).copy()
+        out[ends] = _CUT
+        at = np.flatnonzero(joined)
+        return np.insert(out, np.repeat(at, 2), np.tile(np.array([_CUT, _JOINED], np.uint8), len(at))).tobytes().split(b"\xfe")
 
     def encode_a(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces one after the other, and how many each has; plain pieces come first in ``raw``.
+        """Ids of pieces one after the other, and how many each has.
 
-        The words of plain ones are merged together, by the same merge list as the library's.
+        Plain ones are merged together, by the same merge list as the library's.
         """
-        parts, per_piece = [], []
-        for k, x in enumerate(raw):
-            plain = _PLAIN.fullmatch(x)
-            if not plain:
-                break
-            parts += [x[:-1], plain[1]] if plain[1] else [x]
-            per_piece.append(2 if plain[1] else 1)
-        rest = [x.decode() for x in raw[len(per_piece) :]]
+        plain = np.array([_PLAIN.fullmatch(x) is not None for x in raw], bool)
+        parts = [x for x, p in zip(raw, plain.tolist()) if p]
+        rest = [x.decode() for x, p in zip(raw, plain.tolist()) if not p]
         got = [e.ids for e in self.a.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
-        ids, n = np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
-        if parts:
-            letters = self.letters[np.frombuffer(b"".join(parts), np.uint8)]
-            merged, sizes = self.rules.merge_many(letters, np.array([len(x) for x in parts]))
-            ends = np.cumsum(sizes)[np.cumsum(per_piece) - 1]
-            ids, n = np.concatenate([merged, ids]), np.concatenate([np.diff(ends, prepend=0), n])
+        letters = self.letters[np.frombuffer(b"".join(parts), np.uint8)]
+        merged, sizes = self.rules.merge_many(letters, np.array([len(x) for x in parts], np.int64))
+        n = np.zeros(len(raw), np.int64)
+        n[plain], n[~plain] = sizes, [len(x) for x in got]
+        ids, of_plain = np.zeros(n.sum(), np.int64), np.repeat(plain, n)
+        ids[of_plain], ids[~of_plain] = merged, list(chain.from_iterable(got))
         return ids, n
 
-    def encode_b(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got], np.int64)
+    def encode_b(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.b.encode(raw, num_threads=1)
+        return np.array(list(chain.from_iterable(got)), np.int64), np.array([len(x) for x in got], np.int64)
 
     def whole(self, raw: list[bytes], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """Which pieces both tokenizers give back byte for byte."""
@@ -112,6 +159,19 @@ class Aligner:
         return out
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a new one gets the next and is noted down."""
+
+    def __init__(self, pieces: Iterable[bytes] = ()):
+        super().__init__((p, k) for k, p in enumerate(pieces))
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        self[piece] = n = len(self)
+        return n
+
+
 class Book:
     """Distinct pieces with what their alignment gives, numbered in the order in which they came.
 
@@ -125,7 +185,7 @@ class Book:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = _Numbers()
         self.texts: list[bytes] = []
         self.fine = bytearray()
         self.sums = array("q")
@@ -134,76 +194,100 @@ class Book:
     def full(self) -> bool:
         return len(self.texts) > CACHE_SIZE or len(self.same) + len(self.odd) > CACHE_LINKS
 
-    def learn(self, pieces: set[str]) -> None:
+    def forget(self, seen: np.ndarray) -> None:
+        """Keep pieces that were met more than once, given how often, and of those what fills half at most."""
+        links = _view(self.same_n) + _view(self.odd_n)
+        often = np.flatnonzero(seen > 1)
+        often = often[np.argsort(-seen[often], kind="stable")][: CACHE_SIZE // 2]
+        kept = np.sort(often[np.cumsum(links[often]) <= CACHE_LINKS // 2])
+        pieces, texts, fine = list(self.number), self.texts, np.frombuffer(bytes(self.fine), np.uint8)
+        sums = _view(self.sums).reshape(-1, 4)[kept]
+        taken = [(*_taken(values, n, at, kept), _view(n)[kept]) for values, n, at in self.lists()]
+        self.clear()
+        self.number = _Numbers(map(pieces.__getitem__, kept.tolist()))
+        self.texts += map(texts.__getitem__, kept.tolist())
+        self.fine += fine[kept].tobytes()
+        self.sums.frombytes(sums.tobytes())
+        for (values, n, at), new in zip(self.lists(), taken):
+            for into, x in zip((values, at, n), new):
+                into.frombytes(x.tobytes())
+
+    def lists(self) -> tuple:
+        """Of links along the identity array and of others: all, how many a piece has, where its begin."""
+        return (self.same, self.same_n, self.same_at), (self.odd, self.odd_n, self.odd_at)
+
+    def learn(self, pieces: list[bytes]) -> None:
         """Align new pieces, all at once: a link ends wherever a token of either side does."""
         if not pieces:
             return
-        with_raw = [(p, p.encode()) for p in pieces]
-        with_raw.sort(key=lambda x: _PLAIN.fullmatch(x[1]) is None)
-        pieces, raw = zip(*with_raw)
-        aligner, first = self.aligner, len(self.texts)
-        (a, n_a), (b, n_b) = aligner.encode_a(raw), aligner.encode_b(pieces)
+        raw = [p[1:] if p[:1] == b"\xff" else b" " + p for p in pieces]
+        aligner = self.aligner
+        (a, n_a), (b, n_b) = aligner.encode_a(raw), aligner.encode_b(raw)
         fine = aligner.whole(raw, a, n_a, b, n_b)
         of_a, of_b = np.repeat(np.arange(len(raw)), n_a), np.repeat(np.arange(len(raw)), n_b)
         a, of_a, b = a[fine[of_a]], of_a[fine[of_a]], b[fine[of_b]]
         end_a, end_b = np.cumsum(aligner.size_a[a]), np.cumsum(aligner.size_b[b])
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        marks = np.zeros(int(max(end_a[-1:].sum(), end_b[-1:].sum())) + 1, np.int8)
+        marks[end_a] = 1
+        marks[end_b] |= 2
+        ends = np.flatnonzero(marks)
+        of_one, of_other = marks[ends] & 1 > 0, marks[ends] & 2 > 0
+        at_a, at_b = np.cumsum(of_one) - of_one, np.cumsum(of_other) - of_other
         link_a, link_b, piece = a[at_a], b[at_b], of_a[at_a]
-        last = (end_a[at_a] == ends) & (end_b[at_b] == ends)  # of a group
+        last = of_one & of_other  # of a group
         group = np.cumsum(last) - last
         links = np.bincount(group, minlength=int(last.sum()))
         straight = (links[group] == 1) & (aligner.same[link_a] == link_b)
-        for values, n, at, mine, of in (
-            (self.same, self.same_n, self.same_at, link_a[straight], piece[straight]),
-            (self.odd, self.odd_n, self.odd_at, (link_a * self.width + link_b)[~straight], piece[~straight]),
-        ):
+        found = (link_a[straight], piece[straight]), ((link_a * self.width + link_b)[~straight], piece[~straight])
+        for (values, n, at), (mine, of) in zip(self.lists(), found):
             counts = np.bincount(of, minlength=len(raw))
             at.frombytes((len(values) + np.cumsum(counts) - counts).tobytes())
             n.frombytes(counts.tobytes())
             values.frombytes(mine.tobytes())
 
-        texts = [f"{x}|{y}" for x, y in zip(link_a[last].tolist(), link_b[last].tolist())]
-        common = ends[last]
-        to_a, to_b = (np.append(0, np.searchsorted(e, common) + 1) for e in (end_a, end_b))
-        for g in np.flatnonzero(links > 1).tolist():
-            texts[g] = "|".join(",".join(map(str, ids[to[g] : to[g + 1]].tolist())) for ids, to in ((a, to_a), (b, to_b)))
+        texts = list(map(aligner.told.__getitem__, link_a[last].tolist()))
+        to_a, to_b = ((np.append(0, x[last] + 1)).tolist() for x in (at_a, at_b))
+        list_a, list_b = a.tolist(), b.tolist()
+        for g in np.flatnonzero(~straight[last]).tolist():
+            one, other = list_a[to_a[g] : to_a[g + 1]], list_b[to_b[g] : to_b[g + 1]]
+            texts[g] = f"{','.join(map(str, one))}|{','.join(map(str, other))}".encode()
         n_groups = np.bincount(piece[last], minlength=len(raw))
         at = np.append(0, np.cumsum(n_groups)).tolist()
-        self.texts += [";".join(texts[i:j]).encode() for i, j in zip(at, at[1:])]
+        self.texts += [b";".join(texts[i:j]) for i, j in zip(at, at[1:])]
         self.fine += fine.tobytes()
         numbers = (n_a * fine, n_b * fine, n_groups, np.bincount(piece, minlength=len(raw)))
         self.sums.frombytes(np.column_stack(numbers).astype(np.int64).tobytes())
-        self.number.update(zip(pieces, range(first, first + len(raw))))
 
     def read(self, texts: list) -> Iterator[list]:
         """Blocks of texts as piece numbers in order; None for a text that has no tokens.
 
-        Numbers hold until ``clear``; no block is made of more than about ``HELD`` characters.
+        Numbers hold until ``clear`` or ``forget``; no block is made of more than about ``HELD`` characters.
         """
-        block: list[list[str] | None] = []
+        rows: list[np.ndarray | None] = []
         size = 0
         for at, text in enumerate(texts):
-            block.append(self._cut(text) if text else None)
+            pieces = self.aligner.cut(text) if text else None
+            rows.append(None if pieces is None else np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
             size += len(text or "")
             if size < HELD and at < len(texts) - 1:
                 continue
-            new = set().union(*filter(None, block)).difference(self.number)
+            new, self.number.new = self.number.new, []
             self.learn(new)
-            rows = [None if p is None else np.fromiter(map(self.number.__getitem__, p), np.int64, len(p)) for p in block]
             fine = np.frombuffer(bytes(self.fine), np.bool_)
             yield [r if r is not None and fine[r].all() else None for r in rows]
-            block, size = [], 0
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        head, *rest = _BREAK.split(" " + text)
-        return [*([head] if head else []), *(" " + r for r in rest)]
+            rows, size = [], 0
 
 
 def _view(values: array) -> np.ndarray:
-    """A copy: an array that is looked at cannot grow."""
-    return np.array(values, np.int64)
+    """Not to be kept: an array that is looked at cannot grow."""
+    return np.frombuffer(values, np.int64)
+
+
+def _taken(values: array, n: array, at: array, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of some pieces, one piece after the other, and where each one's begin."""
+    n, at = _view(n)[pieces], _view(at)[pieces]
+    starts = np.cumsum(n) - n
+    return _view(values)[np.repeat(at - starts, n) + np.arange(n.sum())], starts
 
 
 def _links(book: Book, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,11 +297,10 @@ def _links(book: Book, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(rows)), sizes)
     span = len(book.aligner.bytes_a) * book.width
     codes = []
-    for values, n, at in ((book.same, book.same_n, book.same_at), (book.odd, book.odd_n, book.odd_at)):
-        n, at = _view(n)[pieces], _view(at)[pieces]
-        found = _view(values)[np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    for values, n, at in book.lists():
+        found, _ = _taken(values, n, at, pieces)
         keys = found if values is book.odd else found * book.width + book.aligner.same[found]
-        codes.append(np.repeat(doc, n) * span + keys)
+        codes.append(np.repeat(doc, _view(n)[pieces]) * span + keys)
     codes, times = np.unique(np.concatenate(codes), return_counts=True)
     return np.bincount(codes // span, minlength=len(rows)), codes % span, times
 
@@ -291,7 +374,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text: str, keep:
                     at += len(rows)
                 if book.full():
                     yield counted(book, seen, kinds)
-                    book.clear()
+                    book.forget(seen)
                     seen = np.zeros(0, np.int64)
         if seen.any():
             yield counted(book, seen, kinds)

@@ -206,6 +206,64 @@ def test_pieces_forgotten_within_a_task_are_counted(spark, texts, monkeypatch):
     assert sorted(total.values()) == [2, 3] and all(b is None for _, b in total)
 
 
+def test_cuts_are_where_both_tokenizers_break():
+    """Random texts full of marks, line ends and white space: pieces one after the other give the ids of the whole."""
+    rng, aligner = random.Random(3), token_alignment.Aligner(BYTES, PIECES)
+    a, b = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a.encode_special_tokens = True
+    some = [*"aZéßÿ×÷2.,!'\"-_*$(", *"  \n\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "’", "²",
+            "日", "e\u0301", "😀", "\x00", "</s>", "the", " the", "'s", "'ll", ". The", "end.\nNext"]
+    plain = [x for x in some if x.isascii()]
+    for k in range(4_000):
+        text = "".join(rng.choices(plain if k % 2 else some, k=rng.randint(1, 12)))
+        pieces = aligner.cut(text)
+        raw = [p[1:] if p[:1] == b"\xff" else b" " + p for p in pieces]
+        assert b"".join(raw).decode() == " " + text
+        ids_a, n_a = aligner.encode_a(raw)
+        ids_b, n_b = aligner.encode_b(raw)
+        assert ids_a.tolist() == a.encode(" " + text, add_special_tokens=False).ids and len(ids_a) == n_a.sum(), text
+        assert ids_b.tolist() == b.encode(text) and len(ids_b) == n_b.sum(), text
+
+
+def test_words_are_aligned_once_whatever_mark_or_line_end_follows():
+    book = token_alignment.Book(token_alignment.Aligner(BYTES, PIECES))
+    words = [f"w{'abcdefgh'[i]}{'éüßñ'[j]}" for i in range(8) for j in range(4)]
+    text = " ".join(f"{w}{mark}" for mark in ("", ".", ",", "!!", "***", "?") for w in words)
+    lines = "\n".join(f"{w} {v}." for w in words for v in words)
+    list(book.read([text, lines]))
+    assert len(book.texts) <= 2 * len(words) + 10  # with a blank before or first in a line, marks, the line end
+
+
+def test_pieces_met_again_are_kept(monkeypatch):
+    """Counts do not depend on what a worker forgets, and frequent pieces are not aligned twice."""
+    rng, learned = random.Random(7), Counter()
+    texts = [" ".join(["often.", f"rare{rng.random()}", "common", "naïve", *rng.choices(["x", "y,"], k=4)]) for _ in range(60)]
+
+    def total(size):
+        monkeypatch.setattr(token_alignment, "CACHE_SIZE", size)
+        book, counts, docs, forgotten = token_alignment.Book(aligner), Counter(), [], 0
+        learn = book.learn
+        book.learn = lambda pieces: (learned.update(pieces), learn(pieces))
+        seen = np.zeros(0, np.int64)
+        for k, text in enumerate(texts):
+            rows = next(book.read([text]))
+            seen = np.bincount(rows[0], minlength=len(book.texts)) + np.pad(seen, (0, len(book.texts) - len(seen)))
+            docs += token_alignment._documents(book, rows).to_pylist()
+            if book.full() or k == len(texts) - 1:
+                for r in token_alignment._counts(book, seen).to_pylist():
+                    counts[r["a"], r["b"]] += r["n"]
+                book.forget(seen)
+                seen, forgotten = np.zeros(0, np.int64), forgotten + 1
+        return counts, docs, forgotten
+
+    aligner = token_alignment.Aligner(BYTES, PIECES)
+    whole = total(10_000)
+    learned.clear()
+    some = total(20)
+    assert whole[:2] == some[:2] and some[2] > 2
+    assert learned[b"common"] == learned[b"often"] == 1
+
+
 def test_op12_equals_brute_force(spark):
     got = catalog.QUERIES["op12_token_alignment"](spark, ROOT).collect()
     assert Counter(map(tuple, got)) == Counter(brute_alignment(documents(spark)))
