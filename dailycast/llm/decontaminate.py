@@ -78,22 +78,33 @@ class TestSuffixes:
 
 
 def suffix_array(ids: np.ndarray, where: np.ndarray, depth: int) -> np.ndarray:
-    """``where`` sorted by the ``depth`` ids that follow each position, by prefix doubling."""
+    """``where`` sorted by the ``depth`` ids that follow each position, by prefix doubling.
+
+    Every position less than ``depth`` behind one of ``where`` is ranked, whether or not it is in
+    ``where`` itself: the halves that are compared begin there. ``where`` names no position twice.
+    """
     bits = max(1, int(ids.max(initial=0)).bit_length())
     known = max(1, 62 // bits)
     padded = np.concatenate([ids, np.zeros(2 * max(known, depth) + 1, ids.dtype)]).astype(np.int64)
-    rank = np.zeros(len(padded), np.int64)
-    key = np.zeros(len(where), np.int64)
+    at = where
+    if known < depth:
+        edges = np.zeros(len(padded), np.int32)
+        edges[where] += 1
+        edges[where + depth] -= 1
+        at = np.flatnonzero(np.cumsum(edges))
+    key = np.zeros(len(at), np.int64)
     for j in range(min(known, depth)):
-        key = (key << bits) | padded[where + j]
-    while True:
+        key = (key << bits) | padded[at + j]
+    rank = np.zeros(len(padded), np.int64)
+    while known < depth:
         order = np.argsort(key, kind="stable")
-        if known >= depth:
-            return where[order]
         ordered = key[order]
-        rank[where[order]] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]]) if len(where) else 0
-        key = (rank[where] << 31) | rank[np.minimum(where + known, len(rank) - 1)]
+        rank[at[order]] = np.cumsum(np.r_[1, ordered[1:] != ordered[:-1]]) if len(at) else 0
+        if 2 * known >= depth:
+            at = where
+        key = (rank[at] << 31) | rank[np.minimum(at + known, len(rank) - 1)]
         known *= 2
+    return at[np.argsort(key, kind="stable")]
 
 
 def _reaches(ids: np.ndarray, least: int) -> np.ndarray:

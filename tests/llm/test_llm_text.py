@@ -181,6 +181,42 @@ def test_matches_of_repetitive_words_are_the_maximal_ones(seed):
         assert got == sorted(maximal(doc, items, 4))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_among_many_words_that_end_anywhere(seed):
+    """Word numbers too wide for one key, windows that differ late, passages cut by other words."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: [b"w%d" % i for i in rng.integers(0, 3_000, n)]
+    head = draw(8)
+    items = [head[: int(rng.integers(0, 9))] + draw(int(n)) for n in rng.integers(13, 30, 8)] + [draw(3_000)]
+    if seed % 2:
+        items += [head[:3], head[:7] + draw(2)]
+    docs = []
+    for _ in range(12):
+        doc = []
+        for k in rng.integers(0, len(items), 4):
+            at = int(rng.integers(0, max(1, len(items[k]) - 12)))
+            doc += items[k][at : at + int(rng.integers(8, 20))] + [b"other"] * int(rng.integers(0, 3))
+        docs.append(doc)
+    tests = decontaminate.TestSuffixes([(str(k), b" ".join(w)) for k, w in enumerate(items)], 13)
+    _, found = decontaminate.find_matches([b" ".join(d) for d in docs], tests)
+    assert any(found)
+    for doc, got in zip(docs, found):
+        got = sorted((m["doc_word"], int(m["item_id"]), m["item_word"], m["length"]) for m in got)
+        assert got == sorted(maximal(doc, items, 13))
+
+
+@pytest.mark.parametrize("least, depth, words", [(13, 13, 3_000), (12, 13, 70_000), (40, 40, 900)])
+def test_suffixes_are_sorted_by_all_their_words(least, depth, words):
+    """Passages of equal beginnings, told apart by their last words only, where no suffix begins."""
+    rng = np.random.default_rng(words)
+    head = rng.integers(1, words, least - 3)
+    ids = np.concatenate([np.r_[head, rng.integers(1, words, 3), 0] for _ in range(50)]).astype(np.int32)
+    where = np.arange(0, len(ids), least + 1)
+    padded = ids.tolist() + [0] * depth
+    got = [padded[i : i + depth] for i in decontaminate.suffix_array(ids, where, depth)]
+    assert got == sorted(padded[i : i + depth] for i in where)
+
+
 def test_one_word_repeated_thousands_of_times():
     """Matches follow the diagonals (22,000 of them), not the pairs of windows (40 million)."""
     tests = decontaminate.TestSuffixes([("q", b"a " * 2_000)], 13)
